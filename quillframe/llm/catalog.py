@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, url_filter
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, suffix_dedup, training_order, url_filter
 from .common import table
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -56,3 +56,17 @@ QUERIES = {
     f.__name__: f
     for f in (op2_url_filters, op3_substring_dedup, op5_language_id, op6_ngram_jaccard_join, op7_decontamination, op8_best_fit_packing, op9_line_dedup, op10_quality_rules)
 }
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = training_order.materialise(docs, training_order.default_dir(spark))
+    return made.select("seq", "slot", "shard", "record", "n_tokens", "sha256", "doc_ids")
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_training_order, op4_suffix_array_dedup)}
