@@ -133,7 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, anc
         return F.struct(F.size(ws).cast("bigint").alias("n_words"), F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["uid"].alias("uid"))).alias("spans"))
 
     checked = joined.withColumn("__v", let(words_of(F.col("text")), verified)).drop("text", "cands")
-    checked = checked.withColumns({"n_words": F.col("__v.n_words"), "spans": F.col("__v.spans")}).drop("__v")
+    # Written once: what follows reads it twice, and filters would have texts cut into words anew.
+    checked = durable(checked.withColumns({"n_words": F.col("__v.n_words"), "spans": F.col("__v.spans")}).drop("__v"), "decontam-checked")
     checked = checked.withColumns({"n_hit": _covered(F.col("spans")).cast("bigint"), "__uids": F.array_distinct(F.transform("spans", lambda x: x["uid"]))})
     # Item ids of the distinct sequences: few documents have any, only they are exploded.
     none = checked.where("size(__uids) = 0").withColumn("item_ids", F.array().cast("array<string>"))

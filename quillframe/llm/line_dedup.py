@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import broadcast_if, durable
 from .cuckoo import CuckooFilter, built
 from .lines import exploded_lines
 
 LEAST_CHARS = 10
 KEYS_PER_SHARD = 1_000_000
 MAX_FILTER_BYTES = 64 << 20
+#: Most dropped lines (of some 20 bytes) that are broadcast instead of shuffling texts to them.
+MAX_BROADCAST = 1_000_000
 
 
 def _hashes(digests: pa.Array) -> np.ndarray:
@@ -72,9 +74,9 @@ class LineIndex:
         return exploded_lines(docs.where("doc_id is not null"), least, "doc_id")
 
     @classmethod
-    def of(cls, docs: DataFrame, least: int = LEAST_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        """An index that can only be probed: owners straight from the lines, without the table of references."""
-        per_key = cls._lines(docs, least).groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_refs"))
+    def of(cls, lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
+        """An index that can only be probed: owners straight from lines (doc_id, digest), without the table of references."""
+        per_key = lines.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_refs"))
         return cls._from(None, per_key.where("owner < last").select("digest", "owner", "n_refs"), keys_per_shard)
 
     @classmethod
@@ -132,9 +134,8 @@ class LineIndex:
 
         return salted.groupBy("__shard", "__part").cogroup(spread.groupBy("__shard", "__part")).applyInArrow(cogrouped, schema)
 
-    def repeated(self, docs: DataFrame, least: int = LEAST_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-        """(doc_id, pos) of the lines to drop: an owned key outside its owner."""
-        lines = exploded_lines(docs.where("doc_id is not null"), least, "doc_id")
+    def repeated(self, lines: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+        """(doc_id, pos) of the lines (doc_id, pos, digest) to drop: an owned key outside its owner."""
         hits = self.possible(lines, max_filter_bytes)
         return hits.join(self.owners, "digest").where("doc_id > owner").select("doc_id", "pos")
 
@@ -142,9 +143,12 @@ class LineIndex:
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, least: int = LEAST_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """`docs` with kept text in `text`, and n_lines and n_dropped."""
     docs = docs.drop("n_lines", "n_dropped")
-    index = index or LineIndex.of(docs, least)
-    drops = index.repeated(docs, least, max_filter_bytes).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("__drop")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(drops, docs["doc_id"] == drops["__id"], "left").drop("__id").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint"))
+    lines = durable(LineIndex._lines(docs, least), "line-digests")
+    index = index or LineIndex.of(lines)
+    gone = durable(index.repeated(lines, max_filter_bytes).distinct(), "line-drops")
+    n_gone = gone.count()
+    drops = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("__drop")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(broadcast_if(drops, n_gone, MAX_BROADCAST), docs["doc_id"] == drops["__id"], "left").drop("__id").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint"))
     schema = joined.drop("__drop").withColumn("n_dropped", F.lit(0).cast("bigint")).schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

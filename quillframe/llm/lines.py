@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACES, ascii_lower
 
 
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at both ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", ""))
+    return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
 def digest(key: Column) -> Column:
@@ -19,7 +19,10 @@ def digest(key: Column) -> Column:
 
 
 def exploded_lines(docs: DataFrame, least: int, *keep: str) -> DataFrame:
-    """(keep..., pos, digest) of every line whose key has at least `least` code points."""
-    lines = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).alias("pos", "line"))
-    keyed = lines.select(*keep, "pos", line_key(F.col("line")).alias("key"))
+    """(keep..., pos, digest) of every line whose key has at least `least` code points.
+
+    Keys are made before lines become rows, once each: a filter on them would otherwise make them again.
+    """
+    keys = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), line_key)
+    keyed = docs.select(*keep, F.posexplode(keys).alias("pos", "key"))
     return keyed.where(F.char_length("key") >= least).select(*keep, "pos", digest(F.col("key")).alias("digest"))

@@ -15,35 +15,32 @@ apart by the hash of their text; equal rows are one document. Other columns of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, broadcast_if, durable, let, split_words
 from .lines import digest
 
 LEAST_WORDS = 8
+#: Most removed units (of some 30 bytes) that are broadcast instead of shuffling texts to them.
+MAX_BROADCAST = 1_000_000
 #: Separators of units. A paragraph ends at a line of white space.
 SPLIT = {"line": "\n", "paragraph": "\n[\\x20\\x09\\x0B-\\x0D]*\n"}
 
 
-def normalised(unit: Column) -> Column:
-    return ascii_lower(F.regexp_replace(F.regexp_replace(unit, f"[{SPACE}]+", " "), "^ | $", ""))
-
-
 def unit_rows(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: tuple[str, ...] = ()) -> DataFrame:
-    """(rank..., doc_id, version, pos, digest, n_words, n_chars) of every unit that counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.split(text, SPLIT[unit], -1)
-    rows = docs.select(*rank, "doc_id", F.xxhash64("text").alias("version"), F.posexplode(pieces).alias("pos", "unit"))
-    keyed = rows.withColumn("key", normalised(F.col("unit"))).withColumn("n_words", F.size(F.array_remove(F.split("key", " "), "")))
-    return keyed.where(F.col("n_words") >= least_words).select(*rank, "doc_id", "version", "pos", digest(F.col("key")).alias("digest"), "n_words")
+    """(rank..., doc_id, version, pos, digest, n_words) of every unit that counts."""
+    pieces = F.split(F.coalesce(F.col("text"), F.lit("")), SPLIT[unit], -1)
+    keyed = lambda u: let(split_words(u, SPACE), lambda ws: F.struct(ascii_lower(F.array_join(ws, " ")).alias("key"), F.size(ws).alias("n")))
+    rows = docs.select(*rank, "doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.transform(pieces, keyed)).alias("pos", "u")).where(F.col("u.n") >= least_words)
+    return rows.select(*rank, "doc_id", "version", "pos", digest(F.col("u.key")).alias("digest"), F.col("u.n").alias("n_words"))
 
 
 def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, version, pos, n_words, keeper): every unit but the first-ranked of its digest; keeper is that one's doc_id."""
     if unit not in SPLIT:
         raise ValueError(f"unit must be one of {sorted(SPLIT)}")
-    rows = unit_rows(docs, unit, least_words, rank)
+    rows = durable(unit_rows(docs, unit, least_words, rank), "units")
     first = F.struct(*rank, "doc_id", "version", "pos")
     per_key = rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     return rows.join(per_key, "digest").where(~first.eqNullSafe(F.col("first"))).select("doc_id", "version", "pos", "n_words", F.col("first.doc_id").alias("keeper")).distinct()
@@ -54,10 +51,12 @@ def remove_repeated(docs: DataFrame, unit: str = "line", least_words: int = LEAS
 
     Offsets are code points of the original text. Kept units are joined by the unit's separator.
     """
-    gone = repeated_units(docs, unit, least_words, rank).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "keeper"))).alias("__gone"))
+    removed = durable(repeated_units(docs, unit, least_words, rank), "removed-units")
+    n_removed = removed.count()
+    gone = removed.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "keeper"))).alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__gone")
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    joined = base.join(gone, base["doc_id"].eqNullSafe(gone["__id"]) & (base["version"] == gone["__version"]), "left")
+    joined = base.join(broadcast_if(gone, n_removed, MAX_BROADCAST), base["doc_id"].eqNullSafe(gone["__id"]) & (base["version"] == gone["__version"]), "left")
     keeper = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {keeper}, n_units bigint, n_removed bigint, kept_text string, removed array<struct<pos:int,start:int,length:int,keeper:{keeper}>>"
 
