@@ -1,18 +1,19 @@
-"""Exact Jaccard join of word shingle sets by multiple-global-order prefix filters.
+"""Exact Jaccard join of word shingle sets, with multiple-global-order prefix filters before verification.
 
 Sets: hashed shingles of `words` words. Two sets whose Jaccard similarity is at least t share a token among
-the first n - ceil(t n) + 1 tokens of each, under any global order of all tokens. Candidates must share
-such a token under `orders` different orders.
-
-Orders: tokens are classed by their hash (the first class holds a sixth of all tokens), then by the logarithm
-of their document frequency, then by a hash that differs from order to order. Only the classes that a
-document's prefix reaches are counted and shuffled. Documents whose prefix has only tokens that no other
-document has are done: they have no partner.
-
-Instead of listing candidate pairs, documents that share a prefix token under the first order are linked to the
-token's smallest document; the connected groups are split again by the second order's tokens and the
-third's. Two similar documents share a token under each order, so they stay together. Groups have their
-sets compared exactly, in blocks of at most `block` documents: a larger group is dealt into pairs of
+the first n - ceil(t n) + 1 tokens of each, under any global order of all tokens; a pair is verified only if
+it does so under each of `orders` different orders.
+
+Which pairs get there is decided by partition signatures, not by joining prefix tokens: texts of few
+words share rare shingles by chance, so that prefix tokens alone tie most of a corpus together (figures
+in the README). Sets of similar size differ in at most k tokens if they are similar; tokens are dealt by hash into
+k + 1 + `spare` parts, so at least 1 + `spare` parts are equal. A part with fewer than three tokens says
+little; it is used only by sets that have more than `spare` such parts, which keeps the guarantee:
+an equal part has as many tokens in both. Sizes are cut into ranges; a set takes part in its own range's
+scheme and, if it may be similar to larger sets beyond, in the next one's.
+
+Sets with an equal part are linked to the part's smallest document, and the connected groups have their sets
+compared exactly, in blocks of at most `block` documents: a larger group is dealt into pairs of
 blocks, which meet in tasks of their own. Within a block, a document is compared with those that no chain of
 links has reached yet. Equal sets are one class from the start.
 
@@ -33,9 +34,9 @@ from .graph import components
 
 WORDS, PERCENT, ORDERS, BLOCK = 3, 90, 3, 400
 MAX_BROADCAST = 4_000_000
-#: Upper bounds of the token classes, as shares of the hash space.
-CLASSES = (1 / 6, 1 / 2, 1)
-_BOUNDS = [int(-(2**63) + c * 2**64) for c in CLASSES[:-1]]
+#: Parts that may be missed besides those that differ, and the least tokens of a part that says enough.
+SPARE, STRONG = 6, 3
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -48,87 +49,137 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return let(split_words(ascii_lower(text), SPACE), hashed)
 
 
-def _prefix(n: Column, percent: int) -> Column:
-    """n - ceil(t n) + 1."""
-    return n - F.floor((percent * n + 99) / 100) + 1
-
-
-def _class(token: Column) -> Column:
-    return F.when(token < _BOUNDS[0], 0).when(token < _BOUNDS[1], 1).otherwise(2)
-
-
-def _emitted(s: Column, percent: int) -> Column:
-    """The tokens of all classes that the prefix reaches."""
-    p = _prefix(F.size(s), percent)
-    below = lambda k: F.filter(s, lambda t: t < _BOUNDS[k])
-    return let(below(0), lambda a: F.when(F.size(a) >= p, a).otherwise(let(below(1), lambda b: F.when(F.size(b) >= p, b).otherwise(s))))
+def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
+    x = x + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def size_ranges(percent: int, most: int) -> np.ndarray:
+    """Starts of the size ranges up to beyond `most`: each is about 1 / t^3 times the one before, and at least one wider."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 100**3 // percent**3))
+    return np.array([*out, out[-1] * 2])
+
+
+def signatures(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """(set index, signature) of non-empty sets given as one array of tokens with starts and sizes."""
+    if not len(sizes):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    bounds = size_ranges(percent, int(sizes.max()))
+    own = np.searchsorted(bounds, sizes, "right") - 1
+    mixed, out = _mix(tokens, 7), []
+    for step in (0, 1):
+        scheme = own + step
+        # Of the next scheme's sets the smallest has bounds[scheme] tokens; smaller partners have at least t times that.
+        use = np.arange(len(sizes)) if step == 0 else np.flatnonzero(100 * sizes >= percent * bounds[scheme])
+        if not len(use):
+            continue
+        largest = bounds[scheme[use] + 1] - 1
+        parts = 2 * largest * (100 - percent) // (100 + percent) + 1 + spare
+        base = np.r_[0, np.cumsum(parts)]
+        n = sizes[use]
+        of = np.repeat(np.arange(len(use)), n)
+        at = np.repeat(starts[use] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        cell = base[of] + (_mix(tokens[at], 3) % parts[of].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        cells, first, count = np.unique(cell[order], return_index=True, return_counts=True)
+        total = np.zeros(base[-1], np.uint64)
+        total[cells] = np.add.reduceat(mixed[at][order], first)
+        filled = np.zeros(base[-1], np.int64)
+        filled[cells] = count
+        doc = np.repeat(np.arange(len(use)), parts)
+        part = np.arange(base[-1]) - base[doc]
+        weak = filled < STRONG
+        n_weak = np.add.reduceat(weak.astype(np.int64), base[:-1])
+        keep = ~weak | (n_weak[doc] > spare)
+        name = _mix(total + _mix(filled.astype(np.uint64), 1), 2) ^ _mix((scheme[use][doc] << 32 | part).astype(np.uint64), 4)
+        out.append((use[doc[keep]], name[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, sig2, tokens, c0, c1, c2): tokens are those that are emitted, c their number by class."""
-    parts = lambda s: F.struct(
-        F.size(s).alias("n_shingles"), F.xxhash64(s).alias("sig"), F.xxhash64(F.lit(1), s).alias("sig2"), _emitted(s, percent).alias("tokens")
-    )
-    rows = docs.select("doc_id", let(shingles(F.col("text"), words), parts).alias("x")).select("doc_id", "x.*")
-    return rows
-
-
-def _prefixes(classes: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(rep, p1, ..., pk): prefix tokens under each order that other classes have, for the classes that have any."""
-    tokens = classes.select("rep", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    level = F.floor(F.log2(F.col("df").cast("double"))).cast("int")
-    lists = tokens.join(shared, "token").groupBy("rep").agg(F.collect_list(F.struct(_class(F.col("token")).alias("c"), level.alias("l"), F.col("token").alias("t"))).alias("shared"))
-    light = classes.select("rep", "n_shingles", *(F.size(F.filter("tokens", lambda t, k=k: _class(t) == k)).alias(f"c{k}") for k in range(3)))
-    joined = lists.join(light, "rep").withColumns({f"s{k}": F.size(F.filter("shared", lambda x, k=k: x["c"] == k)) for k in range(3)})
-    # Tokens that no other class has come first within their token class: the rank of the i-th shared token.
-    start = {0: F.col("c0") - F.col("s0"), 1: F.col("c0") + F.col("c1") - F.col("s0") - F.col("s1"), 2: F.col("c0") + F.col("c1") + F.col("c2") - F.col("s0") - F.col("s1") - F.col("s2")}
-    rank = lambda x, i: i + F.when(x["c"] == 0, start[0]).when(x["c"] == 1, start[1]).otherwise(start[2])
-    p = _prefix(F.col("n_shingles"), percent)
-
-    def prefix(k: int) -> Column:
-        ordered = F.sort_array(F.transform("shared", lambda x: F.struct(x["c"].alias("c"), x["l"].alias("l"), F.xxhash64(F.lit(k), x["t"]).alias("h"))))
-        return let(ordered, lambda s: F.transform(F.filter(s, lambda x, i: rank(x, i) < p), lambda x: x["h"]))
-
-    return joined.select("rep", *(prefix(k).alias(f"p{k}") for k in range(1, orders + 1))).where("size(p1) > 0")
-
-
-def _groups(prefixes: DataFrame, orders: int) -> DataFrame:
-    """(rep, grp): groups within which all similar pairs lie, intersected over the orders."""
-    grouped = prefixes.withColumn("grp", F.lit(0).cast("bigint"))
-    for k in range(1, orders + 1):
-        rows = grouped.select("rep", "grp", F.explode(f"p{k}").alias("h"))
-        first = rows.groupBy("grp", "h").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        edges = rows.join(first, ["grp", "h"]).where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-        found = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-        rest = [f"p{j}" for j in range(k + 1, orders + 1)]
-        grouped = found if k == orders else durable(grouped.select("rep", *rest).join(found, "rep"), "jaccard-groups")
-    return grouped
-
-
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The index of the first member of each set's component, over exact similarity."""
+    """(doc_id, n_shingles, sig, sig2, keys): two hashes of the set, and its part signatures."""
+
+    def scan(batches):
+        for batch in batches:
+            lists = batch.column("s")
+            tokens = lists.flatten().to_numpy().view(np.uint64)
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = np.diff(offsets)
+            full = np.flatnonzero(sizes)
+            sums = np.zeros((2, len(sizes)), np.uint64)
+            if len(full):
+                for k in (0, 1):
+                    sums[k, full] = np.add.reduceat(_mix(tokens, 5 + k), offsets[:-1][full])
+            doc, key = signatures(tokens, offsets[:-1][full], sizes[full], percent)
+            order = np.argsort(doc, kind="stable")
+            ends = np.searchsorted(full[doc][order], np.arange(len(sizes) + 1)) if len(full) else np.zeros(len(sizes) + 1, int)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), keys], names=["doc_id", "n_shingles", "sig", "sig2", "keys"])
+
+    rows = docs.select("doc_id", shingles(F.col("text"), words).alias("s"))
+    return rows.mapInArrow(scan, "doc_id bigint, n_shingles int, sig bigint, sig2 bigint, keys array<bigint>")
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """(rep, grp): groups within which all similar pairs lie."""
+    rows = classes.select("rep", F.explode("keys").alias("key"))
+    first = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    edges = rows.join(first, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+
+
+def _prefix_ids(ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, starts) of each set's prefix under an order: rare tokens of the block first, then by hash."""
+    count = np.bincount(ids)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    level = np.log2(count[ids]).astype(np.int64)
+    sort = np.lexsort((_mix(tokens, 10 + order), level, of))
+    length = sizes - (percent * sizes + 99) // 100 + 1
+    rank = np.arange(len(ids)) - np.repeat(starts, sizes)
+    return ids[sort][rank < length[of]], np.r_[0, np.cumsum(length)[:-1]]
+
+
+def linked(sets: list[np.ndarray], percent: int, orders: int = ORDERS) -> np.ndarray:
+    """The index of the first member of each non-empty set's component, over exact similarity."""
     sizes = np.array([len(s) for s in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    tokens = np.concatenate(sets).view(np.uint64)
+    _, ids = np.unique(tokens, return_inverse=True)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    prefixes = [_prefix_ids(ids, tokens, starts, sizes, percent, k) for k in range(orders)]
     root, marked = np.full(len(sets), -1), np.zeros(ids.max() + 1, bool)
     for seed in range(len(sets)):
         if root[seed] >= 0:
             continue
         root[seed], queue = seed, [seed]
-        while queue and (root < 0).any():
+        while queue:
             x = queue.pop()
+            candidates = (root < 0) & (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
+            if not candidates.any():
+                continue
+            for flat, at in prefixes:
+                own = flat[at[x] : at[x + 1] if x + 1 < len(at) else len(flat)]
+                marked[own] = True
+                candidates &= np.logical_or.reduceat(marked[flat], at)
+                marked[own] = False
+            hits = np.flatnonzero(candidates)
+            if not len(hits):
+                continue
             own = ids[starts[x] : starts[x] + sizes[x]]
             marked[own] = True
-            common = np.add.reduceat(marked[ids], starts, dtype=np.int64)
+            pos = np.repeat(starts[hits] - np.r_[0, np.cumsum(sizes[hits])[:-1]], sizes[hits]) + np.arange(sizes[hits].sum())
+            common = np.add.reduceat(marked[ids[pos]], np.r_[0, np.cumsum(sizes[hits])[:-1]], dtype=np.int64)
             marked[own] = False
-            new = np.flatnonzero((root < 0) & (100 * common >= percent * (sizes + sizes[x] - common)))
+            new = hits[100 * common >= percent * (sizes[hits] + sizes[x] - common)]
             root[new] = seed
             queue.extend(new.tolist())
     return root
 
 
-def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int, orders: int, block: int) -> DataFrame:
     """(a, b): edges that connect exactly what similarity connects."""
     sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
@@ -148,7 +199,7 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int, block:
         sets = [flat[offsets[k] : offsets[k + 1]] for k in order]
         keep = [k for k, s in enumerate(sets) if len(s)]
         reps = reps[order][keep]
-        root = linked([sets[k] for k in keep], percent) if keep else np.zeros(0, int)
+        root = linked([sets[k] for k in keep], percent, orders) if keep else np.zeros(0, int)
         edge = root != np.arange(len(root))
         return pa.table({"a": pa.array(reps[edge], pa.int64()), "b": pa.array(reps[root[edge]], pa.int64())})
 
@@ -160,11 +211,10 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sets = durable(_sets(docs, words, percent), "jaccard-sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    classes = known.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = durable(classes, "jaccard-classes")
-    prefixes = durable(_prefixes(classes, percent, orders), "jaccard-prefixes")
-    groups = durable(_groups(prefixes, orders), "jaccard-groups")
-    edges = durable(_links(docs, groups, words, percent, block), "jaccard-links")
+    groups = durable(_groups(classes), "jaccard-groups")
+    edges = durable(_links(docs, groups, words, percent, orders, block), "jaccard-links")
     found = components(edges)
     named = classes.select("sig", "sig2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left").select("sig", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     rows = known.select("doc_id", "n_shingles", "sig", "sig2").join(named, ["sig", "sig2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
