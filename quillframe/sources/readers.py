@@ -19,7 +19,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
     if not blanks_are_null:
         reader = reader.option("nullValue", "\u0000").option("emptyValue", "")
     df = reader.csv(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return df if blanks_are_null else df.fillna("")
 
 
 def read_two_row_header(spark: SparkSession, path: str, index: str = "index") -> DataFrame:
@@ -30,13 +31,11 @@ def read_two_row_header(spark: SparkSession, path: str, index: str = "index") ->
     names = [index, *(f"{a.strip()}.{b.strip()}" for a, b in zip(head[0][1:], head[1][1:], strict=True))]
     schema = ", ".join(f"`{n}` string" for n in names)
     rows = spark.read.schema(schema).option("header", False).option("escape", '"').csv(path)
-    heads = [h[0] for h in head]
     first = F.col(f"`{index}`")
     second = F.col(f"`{names[1]}`")
     is_head = F.lit(False)
     for h in head:
         is_head = is_head | (F.coalesce(first, F.lit("")).eqNullSafe(F.lit(h[0])) & second.eqNullSafe(F.lit(h[1])))
-    is_head = is_head | (first.isin("track_id", index) & second.isNull() if heads else F.lit(False))
     return rows.where(~F.coalesce(is_head, F.lit(False)))
 
 
@@ -56,7 +55,7 @@ def read_zip_members(spark: SparkSession, path: str, suffix: str = ".csv") -> Da
 
 def parse_csv(df: DataFrame, content: str, schema: str, separator: str = ",") -> DataFrame:
     """Rows of CSV payloads with a header line, one payload a row."""
-    lines = df.select(*(c for c in df.columns if c != content), F.posexplode(F.split(F.trim(F.col(content).cast("string")), "\r?\n")).alias("line_no", "line")).where("line_no > 0")
+    lines = df.select(*(c for c in df.columns if c != content), F.posexplode(F.split(F.trim(F.col(content).cast("string"), F.lit("\r\n")), "\r?\n")).alias("line_no", "line")).where("line_no > 0")
     return lines.select(*(c for c in df.columns if c != content), "line_no", F.from_csv("line", F.lit(schema), {"sep": separator}).alias("r")).select("*", "r.*").drop("r")
 
 

@@ -101,7 +101,7 @@ def test_components_of_a_chain(spark):
 
 
 def test_partition_is_disjoint_and_sized(spark):
-    df = spark.range(400).select((F.col("id") // 4).alias("g"))
+    df = spark.range(400).select(F.floor(F.col("id") / 4).alias("g"))
     parts = {r.part: r["count"] for r in splits.group_partition(df, "g", {"a": 0.7, "b": 0.2, "c": 0.1}, 3).groupBy("part").count().collect()}
     assert parts == {"a": 70, "b": 20, "c": 10}
 
