@@ -126,7 +126,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, anc
     cands, items = matches(docs.select("doc_id", "text"), benchmark, width, anchors)
     cands = durable(cands, "decontam-candidates")
     cands = cands.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(broadcast_if(cands, cands.count(), MAX_BROADCAST // 20), docs["doc_id"].eqNullSafe(cands["__id"]), "left").drop("__id")
+    # Windows are some 150 bytes each: the bound is on their number, not on that of documents.
+    n_windows = cands.agg(F.coalesce(F.sum(F.size("cands")), F.lit(0))).first()[0]
+    joined = docs.join(broadcast_if(cands, n_windows, MAX_BROADCAST // 4), docs["doc_id"].eqNullSafe(cands["__id"]), "left").drop("__id")
 
     def verified(ws: Column) -> Column:
         exact = F.filter(F.coalesce(F.col("cands"), F.array().cast(cands.schema["cands"].dataType)), lambda c: F.array_join(F.slice(ws, c["start"] + 1, c["len"]), " ") == c["wtext"])

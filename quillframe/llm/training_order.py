@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,27 +37,31 @@ SEQ_LEN, PER_SHARD, ROUNDS = 1024, 16_384, 6
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII and Latin letters only, where Python's classes agree with it.
-_LATIN = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_OTHER = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]")
-MEMO = 400_000
+MEMO = 800_000
 
 
 class _Memo(dict):
-    """Piece -> ids as bytes; forgets everything when it holds MEMO pieces."""
+    """Chunk -> ids, as bytes, of the chunk after a space; forgets everything when it holds MEMO chunks."""
 
     def __init__(self, coder, dtype):
-        self.coder, self.dtype = coder, dtype
+        self.coder, self.code = coder, np.dtype(dtype).char
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise ValueError("white space beside a space")
         if len(self) >= MEMO:
             self.clear()
-        out = self[piece] = np.array(self.coder.encode_ordinary(piece), self.dtype).tobytes()
+        out = self[chunk] = array(self.code, self.coder.encode_ordinary(" " + chunk)).tobytes()
         return out
 
 
 class Tokenizer:
-    """A byte-level BPE vocabulary of tiktoken ranks; ids of recent pieces are kept."""
+    """A byte-level BPE vocabulary of tiktoken ranks; ids of recent chunks are kept.
+
+    PATTERN never joins what a single space between two other characters parts: the space goes to what
+    follows. So a text is cut at such spaces and chunks are encoded on their own. Texts in which white space stands
+    beside a space, or at an end next to one, are encoded whole.
+    """
 
     def __init__(self, path: str = RANKS):
         import tiktoken
@@ -69,11 +73,19 @@ class Tokenizer:
         self.dtype = np.uint16 if self.end < 1 << 16 else np.uint32
         self.memo = _Memo(self.coder, self.dtype)
 
+    def whole(self, text: str) -> bytes:
+        return array(self.memo.code, self.coder.encode_ordinary(text)).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as bytes."""
-        if _OTHER.search(text):
-            return np.array(self.coder.encode_ordinary(text), self.dtype).tobytes()
-        return b"".join(map(self.memo.__getitem__, _LATIN.findall(text)))
+        chunks = text.split(" ")
+        first = chunks[0]
+        if not first or first[-1].isspace():
+            return self.whole(text)
+        try:
+            return self.whole(first) + b"".join(map(self.memo.__getitem__, chunks[1:]))
+        except ValueError:
+            return self.whole(text)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
