@@ -270,3 +270,16 @@ def crossings(xs: Column) -> Column:
     return total(pairs) / F.greatest(F.size(xs) - 1, F.lit(1))
 
 
+
+
+def limit_segments(energies: Column, most: int | None) -> Column:
+    """Indices of the `most` strongest segments in order; all of them without a limit."""
+    every = F.sequence(F.lit(0), F.size(energies) - 1)
+    if not most or most <= 0:
+        return every
+    return F.when(F.size(energies) <= most, every).otherwise(select_segments(energies, F.lit(most)))
+
+
+def separated(xs: Column, separator: Callable[[Column], Column] | None = None) -> Column:
+    """The signal's stems by a pluggable separator; the signal itself by default."""
+    return xs if separator is None else separator(xs)

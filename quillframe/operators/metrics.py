@@ -161,3 +161,22 @@ def no_regression(df: DataFrame, keys: Sequence[str], domain: str, value: str, b
 
 def rank_in(keys: Sequence[str], *order: Column) -> Column:
     return F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+
+
+#: Weights of the six terms of the precommitted objective.
+OBJECTIVE = {"mean_total": 0.25, "worst_total": 0.15, "unseen_voice": 0.15, "unseen_music": 0.15, "calibration_old": 0.15, "calibration_new": 0.15}
+
+
+def precommitted_objective(terms: Mapping[str, Column], weights: Mapping[str, float] = OBJECTIVE) -> Column:
+    """Weighted sum of the terms; unseen_voice and unseen_music are 1 - error rate on the unseen domain."""
+    if set(terms) != set(weights):
+        raise ValueError(f"the objective needs exactly {sorted(weights)}")
+    out = F.lit(0.0)
+    for k, w in weights.items():
+        out = out + w * terms[k]
+    return out
+
+
+def checkpoint_score(eer: Column, auc: Column) -> Column:
+    """A component's responsibility-aware score."""
+    return 0.8 * (1 - eer) + 0.2 * auc

@@ -211,3 +211,38 @@ def test_stream_equals_batch(spark, tmp_path):
     count = lambda df: threshold_counts(df, "ts", F.col("y") == 1, F.col("s"))
     run_to_table(count(read_events(spark, f"file://{tmp_path}/ev", events.schema)), "counts").awaitTermination()
     assert sorted(map(str, spark.table("counts").collect())) == sorted(map(str, count(events).collect()))
+
+
+def test_manifest_operators(spark):
+    from quillframe.operators import manifests, metrics
+
+    df = spark.createDataFrame([("a", 1), ("MIX::a|b", 2), ("gone", 3)], "path string, n int")
+    assert manifests.project(df, ["n", "path", "x"], {"x": 0}, ["n"]).columns == ["n", "path", "x"]
+    with pytest.raises(guards.GuardError):
+        manifests.project(df, ["zz"])
+    assert manifests.union_all([df, df.select("path")]).where("n is null").count() == 3
+    assert manifests.resolve_columns(spark.createDataFrame([(1, 2, 3)], "FILE_FAKE int, voice_fake_prob int, my_music_fake_x int"), ["file_fake", "voice_fake", "music_fake", "none"]) == {"file_fake": "FILE_FAKE", "voice_fake": "voice_fake_prob", "music_fake": "my_music_fake_x"}
+    files = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert {r.n for r in manifests.existing_only(df, "path", files).collect()} == {1, 2}
+    moved = spark.createDataFrame([("a", "A"), ("b", "B")], "path string, address string")
+    assert {r.path for r in manifests.rewrite_paths(df, "path", moved).collect()} == {"A", "MIX::A|B", "gone"}
+    assert manifests.label_errors(readers.procedural(spark, 30)).count() == 0
+    assert manifests.label_errors(readers.procedural(spark, 30).withColumn("file_fake", F.lit(0))).count() == 30
+    with pytest.raises(ValueError):
+        metrics.precommitted_objective({"mean_total": F.lit(1.0)})
+    assert one(spark, metrics.precommitted_objective({k: F.lit(1.0) for k in metrics.OBJECTIVE})) == pytest.approx(1.0)
+
+
+def test_selection_policies(spark):
+    e = F.array(*(F.lit(x) for x in (0.9, 0.8, 0.1, 0.7, 0.2)))
+    assert one(spark, signal.select_segments(e, F.lit(2), "energy_diverse")) == [0, 3]
+    assert one(spark, signal.limit_segments(e, 2)) == [0, 1] and one(spark, signal.limit_segments(e, None)) == [0, 1, 2, 3, 4]
+
+
+def test_replaced_columns_and_gate(spark):
+    from quillframe.functions import scoring
+
+    df = spark.createDataFrame([(1, 0.1), (2, 0.9)], "k int, s double")
+    assert {r.k: r.s for r in joins.replaced(df, df.withColumn("t", F.col("s") * 10), "k", {"s": "t"}).collect()} == {1: 1.0, 2: 9.0}
+    out = scoring.gated(df, "k", F.col("s") > 0.5, lambda d: d.withColumn("heavy", F.lit(0.7)), "heavy").collect()
+    assert {(r.k, r.heavy, r.used) for r in out} == {(1, 0.5, False), (2, 0.7, True)}
