@@ -118,7 +118,9 @@ def paired_batches(df: DataFrame, key: str, group: str, label: str, weight: str,
     from quillframe.operators.pairing import real_fake_pairs
 
     pairs = real_fake_pairs(df, key, group, label).orderBy(order_key(seed, "real", "fake")).limit(n_batches * max(1, batch // 8))
-    numbered = pairs.rdd.zipWithIndex().map(lambda x: (x[1] % n_batches, x[0]["real"], x[0]["fake"])).toDF(["batch", "real", "fake"])
+    # At most n_batches x batch / 8 pairs: one window may number them.
+    turn = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(order_key(seed, "real", "fake"))) - 1
+    numbered = pairs.withColumn("batch", (turn % n_batches).cast("bigint"))
     paired = numbered.select("batch", F.explode(F.array("real", "fake")).alias(key))
     rest = batch - 2 * max(1, batch // 8)
     drawn = weighted_draws(df, key, weight, rest * n_batches, seed).select((F.col("draw") % n_batches).alias("batch"), key)

@@ -246,3 +246,9 @@ def test_replaced_columns_and_gate(spark):
     assert {r.k: r.s for r in joins.replaced(df, df.withColumn("t", F.col("s") * 10), "k", {"s": "t"}).collect()} == {1: 1.0, 2: 9.0}
     out = scoring.gated(df, "k", F.col("s") > 0.5, lambda d: d.withColumn("heavy", F.lit(0.7)), "heavy").collect()
     assert {(r.k, r.heavy, r.used) for r in out} == {(1, 0.5, False), (2, 0.7, True)}
+
+
+def test_paired_batches(spark):
+    df = spark.range(80).select(F.col("id").alias("k"), (F.col("id") % 8).alias("g"), (F.floor(F.col("id") / 8) % 2).cast("int").alias("y"), F.lit(1.0).alias("w"))
+    sizes = {r.batch: r["count"] for r in sampling.paired_batches(df, "k", "g", "y", "w", 16, 3).groupBy("batch").count().collect()}
+    assert sizes == {0: 16, 1: 16, 2: 16}
