@@ -33,6 +33,8 @@ WIDTH, GRAM = 200, 50
 SHARD_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
 STRETCH = 1 << 19
 MAX_BROADCAST = 1_000_000
+#: The same for bare 64-bit hashes.
+MAX_HASHES = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIXER = np.uint64(0xBF58476D1CE4E5B9)
@@ -198,7 +200,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     """(ha, hb, spans): byte spans (start, stop) to remove from the texts with these hashes, in order; they may overlap."""
     texts = docs.select(text_hashes()[0].alias("ha"), text_hashes()[1].alias("hb"), "text").where("text is not null")
     anchors = durable(_anchors(texts, width, gram), "suffix-anchors")
-    by_segment = durable(_rows(anchors).groupBy("fp", "sd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ha", "hb", "lo", "hi")).alias("at")).withColumn("size", F.col("at.hi") - F.col("at.lo") + width), "suffix-segments")
+    # Most anchors occur once: counting the bare hashes first keeps their segments out of the wider shuffles.
+    twice = durable(_rows(anchors).groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp"), "suffix-anchors-twice")
+    rows = _rows(anchors).join(broadcast_if(twice, twice.count(), MAX_HASHES), "fp")
+    per_segment = rows.groupBy("fp", "sd").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ha", "hb", "lo", "hi")).alias("at"))
+    by_segment = durable(per_segment.withColumn("size", F.col("at.hi") - F.col("at.lo") + width), "suffix-segments")
     by_anchor = by_segment.groupBy("fp").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("c") == 1).cast("bigint")).alias("singles"), F.sum("size").alias("bytes"))
     mixed = durable(by_anchor.where("total > 1 and singles > 0").select("fp", "bytes"), "suffix-mixed")
     figures = mixed.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
