@@ -43,6 +43,8 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST
     rows = durable(unit_rows(docs, unit, least_words, rank), "units")
     first = F.struct(*rank, "doc_id", "version", "pos")
     per_key = rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    # A table of its own: then the join shuffles both sides alone, and Spark may split a hot digest's rows.
+    per_key = durable(per_key, "repeated-units")
     return rows.join(per_key, "digest").where(~first.eqNullSafe(F.col("first"))).select("doc_id", "version", "pos", "n_words", F.col("first.doc_id").alias("keeper")).distinct()
 
 
