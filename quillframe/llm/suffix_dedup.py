@@ -220,7 +220,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_
     whole = by_segment.where("c > 1").select("fp", "sd", runs.alias("runs"))
     partly = partly.join(by_segment.where("c = 1").select("fp", "sd"), ["fp", "sd"], "left_semi")
     repeated = durable(whole.unionByName(partly), "suffix-repeated")
-    found = _rows(anchors).join(broadcast_if(repeated, repeated.count(), MAX_BROADCAST), ["fp", "sd"])
+    # Never broadcast: this table follows the corpus closely, so the plan is the same at every size.
+    found = _rows(anchors).join(repeated, ["fp", "sd"])
     spans = F.transform("runs", lambda r: F.struct((F.col("lo") + r["first"]).alias("start"), (F.col("lo") + r["last"] + width).alias("stop")))
     # Equal texts send equal spans: a set holds them once.
     return found.select("ha", "hb", F.explode(spans).alias("s")).groupBy("ha", "hb").agg(F.sort_array(F.collect_set("s")).alias("spans"))
