@@ -14,6 +14,8 @@ from quillframe.llm import decontaminate, jaccard_join, language_id, line_dedup,
 from quillframe.llm.common import durable, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates share at least so many percent of their shingles of so many words.
+WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by word shingles, the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
-    found = durable(jaccard_join.similar_documents(docs), "pipeline-components")
+    found = durable(jaccard_join.similar_documents(docs, words=WORDS, percent=PERCENT), "pipeline-components")
     later = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti")
     named = found.where("doc_id is not null")

@@ -12,7 +12,12 @@ little; it is used only by sets that have more than `spare` such parts, which ke
 an equal part has as many tokens in both. Sizes are cut into ranges; a set takes part in its own range's
 scheme and, if it may be similar to larger sets beyond, in the next one's.
 
-Sets with an equal part are linked to the part's smallest document, and the connected groups have their sets
+Below `PARTED` percent too many tokens may differ for parts that say anything. There, candidates come from
+prefixes in two steps. A document stays if enough of the tokens with its smallest hashes are held by
+another set: similar sets share at least l tokens among the first n - ceil(t n) + l. Of the documents
+that stay, tokens are counted, and those with an equal token in their prefixes, rare tokens first, are linked.
+
+Sets with an equal part (or prefix token) are linked to the part's smallest document, and the connected groups have their sets
 compared exactly, in blocks of at most `block` documents: a larger group is dealt into pairs of
 blocks, which meet in tasks of their own. Within a block, a document is compared with those that no chain of
 links has reached yet. Equal sets are one class from the start.
@@ -37,6 +42,8 @@ WORDS, PERCENT, ORDERS, BLOCK = 3, 90, 3, 400
 MAX_BROADCAST = 4_000_000
 #: Parts that may be missed besides those that differ, and the least tokens of a part that says enough.
 SPARE, STRONG = 6, 3
+#: Least percentage for partition signatures, and the share of a set (one in so many tokens) that l is of it.
+PARTED, LEAD = 90, 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -125,6 +132,35 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id bigint, n_shingles int, sig bigint, sig2 bigint, keys array<bigint>")
 
 
+def _overlap(n: Column, percent: int) -> Column:
+    """Tokens that a set of n tokens shares at least with a similar one."""
+    return F.ceil(n * percent / 100).cast("int")
+
+
+def _leading_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, sig, sig2, keys): as _sets, but keys are the tokens with the smallest hashes."""
+    n = F.size("s")
+    lead = n - _overlap(n, percent) + F.greatest(F.lit(1), F.floor(n / LEAD)).cast("int")
+    rows = docs.select("doc_id", shingles(F.col("text"), words).alias("s"))
+    return rows.select("doc_id", n.alias("n_shingles"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit("second"), "s").alias("sig2"), F.slice("s", F.lit(1), lead).alias("keys"))
+
+
+def _rare_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rep, keys) of the sets that may be similar to another one; keys are the prefixes, rare tokens first."""
+    repeated = lambda rows: rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("df")).where("first < last").select("key", "df")
+    of = ["rep", "sig", "n_shingles"]
+    rows = classes.select(*of, F.explode("keys").alias("key"))
+    # The smallest partner has _overlap(n) tokens and so the shorter lead.
+    least = F.greatest(F.lit(1), F.floor(_overlap(F.col("n_shingles"), percent) / LEAD))
+    stay = durable(rows.join(repeated(rows), "key").groupBy(*of).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select(*of), "jaccard-stay")
+    texts = docs.join(broadcast_if(stay, stay.count(), MAX_BROADCAST), docs["doc_id"] == stay["rep"]).select(*of, shingles(F.col("text"), words).alias("s"))
+    # Rows that repeat a doc_id may have other texts.
+    tokens = durable(texts.where(F.xxhash64("s") == F.col("sig")).select(*of, F.explode("s").alias("key")), "jaccard-tokens")
+    shared = tokens.join(repeated(tokens), "key").groupBy(*of).agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("k"))
+    length = F.size("k") - _overlap(F.col("n_shingles"), percent) + 1
+    return shared.where(length > 0).select("rep", F.slice("k.key", F.lit(1), length).alias("keys"))
+
+
 def _groups(classes: DataFrame) -> DataFrame:
     """(rep, grp): groups within which all similar pairs lie."""
     rows = classes.select("rep", F.explode("keys").alias("key"))
@@ -210,11 +246,13 @@ def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int, orders:
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; doc_id must be a bigint."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = durable(_sets(docs, words, percent), "jaccard-sets")
+    parted = percent >= PARTED
+    sets = durable((_sets if parted else _leading_sets)(docs, words, percent), "jaccard-sets")
     known = sets.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     classes = durable(classes, "jaccard-classes")
-    groups = durable(_groups(classes), "jaccard-groups")
+    keyed = classes if parted else durable(_rare_keys(docs, classes, words, percent), "jaccard-rare-keys")
+    groups = durable(_groups(keyed), "jaccard-groups")
     edges = durable(_links(docs, groups, words, percent, orders, block), "jaccard-links")
     found = components(edges)
     named = classes.select("sig", "sig2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left").select("sig", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

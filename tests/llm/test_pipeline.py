@@ -41,3 +41,40 @@ def test_pipeline(spark, tmp_path):
         n[r.doc_id] += r.n_tokens
     assert dict(n) == {i: len(t.split()) for i, t, *_ in left} and 900 not in n
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(5000)}"
+    rows = []
+    for k in range(12):
+        base = [word() for _ in range(r.choice((40, 100, 300)))]
+        rows.append((10 * k, " ".join(base)))
+        # Copies with a tenth to a third of text appended, and with single words edited.
+        for j, share in enumerate((0.12, 0.2, 0.24, 0.26, 0.35)):
+            rows.append((10 * k + 1 + j, " ".join(base + [word() for _ in range(int(share * len(base)))])))
+        for j, edits in enumerate((1, 3)):
+            ws = list(base)
+            for _ in range(edits):
+                ws[r.randrange(len(ws))] = "new"
+            rows.append((10 * k + 7 + j, " ".join(ws)))
+    rows += [(200 + k, t) for k, t in enumerate(["", "one", "one", "one two", "a b c d e", "A B C D E", "a b c d e f"])]
+    grams = {i: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} or ({tuple(ws)} if ws else set()) for i, t in rows for ws in [t.lower().split()]}
+    root = {i: i for i in grams}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if a < b and grams[a] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i in grams if find(i) == i}
+    assert 1 not in kept and 5 in kept
