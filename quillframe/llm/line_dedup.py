@@ -52,7 +52,7 @@ class LineIndex:
         self.references, self.owners, self.filters, self.shards = references, owners, filters, shards
 
     @classmethod
-    def _from(cls, references: DataFrame | None, owners: DataFrame, keys_per_shard: int) -> LineIndex:
+    def _from(cls, references: DataFrame, owners: DataFrame, keys_per_shard: int) -> LineIndex:
         owners = durable(owners, "line-owners")
         shards = max(1, -(-owners.count() // keys_per_shard))
 
@@ -75,15 +75,13 @@ class LineIndex:
 
     @classmethod
     def of(cls, lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        """An index that can only be probed: owners straight from lines (doc_id, digest), without the table of references."""
-        per_key = lines.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_refs"))
-        return cls._from(None, per_key.where("owner < last").select("digest", "owner", "n_refs"), keys_per_shard)
+        """An index of lines (doc_id, digest), with the table of references, for insert() and delete()."""
+        return cls._recounted(lines.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), keys_per_shard)
 
     @classmethod
     def incremental(cls, docs: DataFrame, least: int = LEAST_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        """An index with the table of references, for insert() and delete()."""
-        references = cls._lines(docs, least).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        return cls._recounted(references, keys_per_shard)
+        """An index of the lines of documents."""
+        return cls.of(cls._lines(docs, least), keys_per_shard)
 
     @classmethod
     def _recounted(cls, references: DataFrame, keys_per_shard: int) -> LineIndex:

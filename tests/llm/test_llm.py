@@ -92,6 +92,19 @@ def test_line_index_is_reversible(corpus):
     assert drops(more.delete(df.where("doc_id % 2 = 1")), half) == first
 
 
+def test_line_dedup_builds_an_index_with_references(corpus, monkeypatch):
+    _, df = corpus
+    made, probe = [], line_dedup.LineIndex.repeated
+    monkeypatch.setattr(line_dedup.LineIndex, "repeated", lambda index, *a: made.append(index) or probe(index, *a))
+    line_dedup.drop_repeated_lines(df)
+    lines = line_dedup.LineIndex._lines(df, 10)
+    assert made[0].references.agg({"n": "sum"}).first()[0] == lines.count()
+    half = df.where("doc_id % 2 = 0")
+    left = made[0].delete(df.where("doc_id % 2 = 1"))
+    rows = lambda index: {tuple(r) for r in index.owners.collect()}
+    assert rows(left) == rows(line_dedup.LineIndex.incremental(half)) != rows(made[0])
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = r.integers(0, 2**63, 5000).astype(np.uint64)
