@@ -19,9 +19,10 @@ WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go: those without any letter."""
+    """`lang` becomes the predicted language. Documents without any letter have none and go."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return language_id.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
+    judged = language_id.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
+    return judged.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

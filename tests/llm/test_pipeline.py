@@ -78,3 +78,12 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark, tmp_path):
     kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == {i for i in grams if find(i) == i}
     assert 1 not in kept and 5 in kept
+
+
+def test_predicted_language_is_written(spark):
+    say = {"en": "the cat and the dog were walking with their friends", "fr": "le chat et le chien se promenaient avec leurs amis"}
+    rows = [(i, f"{say[x]} {i}", x, "s", 1) for i in range(60) for x in [("en", "fr")[i % 2]]]
+    rows += [(100, say["fr"], None, "s", 1), (101, "12 34", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {i: x for i, _, x, *_ in rows[:60]} | {100: "fr"}
