@@ -4,8 +4,8 @@ Features are hashed byte trigrams of the lower-cased text with ASCII other than
 spaces, as shares of all trigrams; a linear model over them is a sum over the bytes of the whole
 text, whatever its length. Families are told apart by one-versus-rest SVMs, the languages of a
 family by an SVM for each pair whose votes add up. All SVMs are trained on the driver by dual
-coordinate descent from at most `per_lang` documents for each of at most `max_langs` languages,
-chosen by a hash of doc_id (the bounds are parameters); everything is predicted.
+coordinate descent from at most about `per_lang` documents for each language that has any,
+chosen by a hash of doc_id (the bound is a parameter); everything is predicted.
 
 Null text or text without a letter is "und" with score 0; so is everything if nothing was learned.
 The score is the family's share times the language's share within it. Ties go to the first language
@@ -30,7 +30,7 @@ FAMILIES = {
     **dict.fromkeys(("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"), "slavic"),
 }
 BITS = 15
-PER_LANG, MAX_LANGS = 600, 200
+PER_LANG = 600
 CHUNK = 1 << 21
 
 _MAP = np.full(256, 32, np.uint32)
@@ -152,17 +152,15 @@ def _sparse(texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
     return index, value
 
 
-def training_sample(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
-    """At most about `per_lang` rows (doc_id, text, lang) a language by a hash of doc_id; the most frequent `max_langs` languages."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not counts:
-        return labelled.limit(0)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["count"]))))
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    return labelled.where(F.col("lang").isin([r["lang"] for r in counts])).where(drawn)
+def training_sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """At most about `per_lang` rows (doc_id, text, lang) a language by a hash of doc_id; at least one of each language."""
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))).alias("least"))
+    drawn = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))
+    kept = (drawn < F.least(F.lit(1.0), per_lang / F.col("n")) * (1 << 20)) | (drawn == F.col("least"))
+    return labelled.join(F.broadcast(counts), "lang").where(kept).select("doc_id", "text", "lang")
 
 
-def train(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, families: dict[str, str] = FAMILIES) -> Model:
+def train(labelled: DataFrame, per_lang: int = PER_LANG, families: dict[str, str] = FAMILIES) -> Model:
     """Learn from (doc_id, text, lang); rows with null text or lang do not count."""
 
     def features(batches):
@@ -171,7 +169,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LA
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.string()), "lang": batch.column("lang"), "i": pa.array(index, pa.binary()), "v": pa.array(value, pa.binary())})
 
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sample = training_sample(known, per_lang, max_langs).mapInArrow(features, "doc_id string, lang string, i binary, v binary").toArrow().to_pylist()
+    sample = training_sample(known, per_lang).mapInArrow(features, "doc_id string, lang string, i binary, v binary").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["lang"], r["doc_id"] or "", r["i"]))
     rows = [(np.frombuffer(r["i"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float)) for r in sample]
     model = Model(langs=sorted({r["lang"] for r in sample}))

@@ -373,3 +373,10 @@ def test_certified_cutoffs_keep_good_documents(spark):
     bad = [out[i].kept for i, q in labels if not q]
     assert np.mean(good) >= 0.95 and np.mean(bad) < 0.05
     assert quality_rules.apply_rules(df, empty(lab)).where("not kept").count() == 0 and quality_rules.apply_rules(empty(df), lab).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(2 * i + k, f"text of language {i}", f"l{i:03}") for i in range(230) for k in (0, 1)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.lang for r in language_id.training_sample(labelled).collect()} == {x for *_, x in rows}
+    assert {r.lang for r in language_id.training_sample(labelled, per_lang=0).collect()} == {x for *_, x in rows}
