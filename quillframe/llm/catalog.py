@@ -29,7 +29,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=90)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,17 @@ def split_words(text: Column, separators: str) -> Column:
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast only what was counted and is at most `most` rows; else leave the choice to the planner."""
     return F.broadcast(df) if rows <= most else df
+
+
+#: Most bytes, as Spark's plan puts them once a table is written, that are broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_small(df: DataFrame, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast `df` if its rows, summed over all columns, take at most `most` bytes; else leave the choice to the planner."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        width = width + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if kind in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) if kind in ("array", "struct", "map") else F.lit(8))
+    size = df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df

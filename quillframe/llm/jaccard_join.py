@@ -1,34 +1,32 @@
-"""Exact Jaccard join of word shingle sets, with multiple-global-order prefix filters before verification.
-
-Sets: hashed shingles of `words` words. Two sets whose Jaccard similarity is at least t share a token among
-the first n - ceil(t n) + 1 tokens of each, under any global order of all tokens; a pair is verified only if
-it does so under each of `orders` different orders.
-
-Which pairs get there is decided by partition signatures, not by joining prefix tokens: texts of few
-words share rare shingles by chance, so that prefix tokens alone tie most of a corpus together (figures
-in the README). Sets of similar size differ in at most k tokens if they are similar; tokens are dealt by hash into
-k + 1 + `spare` parts, so at least 1 + `spare` parts are equal. A part with fewer than three tokens says
-little; it is used only by sets that have more than `spare` such parts, which keeps the guarantee:
-an equal part has as many tokens in both. Sizes are cut into ranges; a set takes part in its own range's
-scheme and, if it may be similar to larger sets beyond, in the next one's.
-
-Below `PARTED` percent too many tokens may differ for parts that say anything. There, candidates come from
-prefixes in two steps. A document stays if enough of the tokens with its smallest hashes are held by
-another set: similar sets share at least l tokens among the first n - ceil(t n) + l. Of the documents
-that stay, tokens are counted, and those with an equal token in their prefixes, rare tokens first, are linked.
-
-Sets with an equal part (or prefix token) are linked to the part's smallest document, and the connected groups have their sets
-compared exactly, in blocks of at most `block` documents: a larger group is dealt into pairs of
-blocks, which meet in tasks of their own. Within a block, a document is compared with those that no chain of
-links has reached yet. Equal sets are one class from the start.
-
-Results: links are exact but for collisions of 64-bit hashes. Null, empty and wordless texts have an empty set
-and are linked with nothing; fewer words than a shingle are one shingle. A null doc_id is never linked and
-has a null component. Rows that repeat a doc_id count as one document. Other columns are kept aside.
+"""Exact Jaccard join of word shingle sets by prefix filters under several global token orders.
+
+Sets: hashed shingles of `words` words of the lower-cased text. The orders rank tokens by their number of documents,
+rare ones first, with different ties. Two sets whose similarity is at least t share a token among the first
+n - ceil(t n) + 1 tokens of each, under every order; a pair that lacks one under any order is never verified.
+
+1. Repeated tokens. Each slice of documents sends its tokens to buckets of the token space, in blobs, a token once a
+   slice; a bucket answers which of them it got twice. A set of which less than the share t is repeated has no partner
+   and goes. Tokens are 32 bits within a bucket here: a collision only keeps a set that could have gone.
+2. Orders. Of the sets that are left, one a class of equal sets, tokens are counted exactly, and each set's prefixes
+   are cut under every order. Tokens that occur once come first and make no candidate.
+3. Candidates. Sets that share a prefix token under the first order are a list. A list of few sets that are not connected
+   yet gives all pairs across components, which closes it. Of a longer one, members are first compared with two
+   pivots, of its largest component and of the rest; what gets connected needs no comparison with each other. After
+   `turns` turns, the pairs across components that remain are all made. So a group of near copies costs
+   rows in proportion to its members, and no pair of different components is left out.
+4. Intersection and verification. Pairs that also share a token under the other orders get both sets and are compared
+   exactly. Components grow over verified links only.
+
+Results: exact but for collisions of 64-bit shingle hashes. Null, empty and wordless texts have an empty set and are
+linked with nothing; fewer words than a shingle are one shingle. A null doc_id is never linked and has a null
+component. Rows are judged by their own text: rows that repeat a doc_id with other texts get each their set's component.
+Other columns are not used. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,226 +34,201 @@ from pyspark.sql import functions as F
 
 from quillframe.operators.graph import components
 
-from .common import SPACE, ascii_lower, broadcast_if, durable, let, split_words
-
-WORDS, PERCENT, ORDERS, BLOCK = 3, 90, 3, 400
-MAX_BROADCAST = 4_000_000
-#: Parts that may be missed besides those that differ, and the least tokens of a part that says enough.
-SPARE, STRONG = 6, 3
-#: Least percentage for partition signatures, and the share of a set (one in so many tokens) that l is of it.
-PARTED, LEAD = 90, 8
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def shingles(text: Column, words: int = WORDS) -> Column:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-
-    def hashed(ws: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(ws) - (words - 1)), lambda i: F.xxhash64(F.slice(ws, i, words)))
-        return F.when(F.size(ws) >= words, F.sort_array(F.array_distinct(every))).when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
-
-    return let(split_words(ascii_lower(text), SPACE), hashed)
-
-
-def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
-    x = x + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def size_ranges(percent: int, most: int) -> np.ndarray:
-    """Starts of the size ranges up to beyond `most`: each is about 1 / t^3 times the one before, and at least one wider."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, out[-1] * 100**3 // percent**3))
-    return np.array([*out, out[-1] * 2])
-
-
-def signatures(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, signature) of non-empty sets given as one array of tokens with starts and sizes."""
-    if not len(sizes):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    bounds = size_ranges(percent, int(sizes.max()))
-    own = np.searchsorted(bounds, sizes, "right") - 1
-    mixed, out = _mix(tokens, 7), []
-    for step in (0, 1):
-        scheme = own + step
-        # Of the next scheme's sets the smallest has bounds[scheme] tokens; smaller partners have at least t times that.
-        use = np.arange(len(sizes)) if step == 0 else np.flatnonzero(100 * sizes >= percent * bounds[scheme])
-        if not len(use):
-            continue
-        largest = bounds[scheme[use] + 1] - 1
-        parts = 2 * largest * (100 - percent) // (100 + percent) + 1 + spare
-        base = np.r_[0, np.cumsum(parts)]
-        n = sizes[use]
-        of = np.repeat(np.arange(len(use)), n)
-        at = np.repeat(starts[use] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        cell = base[of] + (_mix(tokens[at], 3) % parts[of].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        cells, first, count = np.unique(cell[order], return_index=True, return_counts=True)
-        total = np.zeros(base[-1], np.uint64)
-        total[cells] = np.add.reduceat(mixed[at][order], first)
-        filled = np.zeros(base[-1], np.int64)
-        filled[cells] = count
-        doc = np.repeat(np.arange(len(use)), parts)
-        part = np.arange(base[-1]) - base[doc]
-        weak = filled < STRONG
-        n_weak = np.add.reduceat(weak.astype(np.int64), base[:-1])
-        keep = ~weak | (n_weak[doc] > spare)
-        name = _mix(total + _mix(filled.astype(np.uint64), 1), 2) ^ _mix((scheme[use][doc] << 32 | part).astype(np.uint64), 4)
-        out.append((use[doc[keep]], name[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, sig2, keys): two hashes of the set, and its part signatures."""
-
-    def scan(batches):
-        for batch in batches:
-            lists = batch.column("s")
-            tokens = lists.flatten().to_numpy().view(np.uint64)
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sizes = np.diff(offsets)
-            full = np.flatnonzero(sizes)
-            sums = np.zeros((2, len(sizes)), np.uint64)
-            if len(full):
-                for k in (0, 1):
-                    sums[k, full] = np.add.reduceat(_mix(tokens, 5 + k), offsets[:-1][full])
-            doc, key = signatures(tokens, offsets[:-1][full], sizes[full], percent)
-            order = np.argsort(doc, kind="stable")
-            ends = np.searchsorted(full[doc][order], np.arange(len(sizes) + 1)) if len(full) else np.zeros(len(sizes) + 1, int)
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), keys], names=["doc_id", "n_shingles", "sig", "sig2", "keys"])
-
-    rows = docs.select("doc_id", shingles(F.col("text"), words).alias("s"))
-    return rows.mapInArrow(scan, "doc_id bigint, n_shingles int, sig bigint, sig2 bigint, keys array<bigint>")
-
-
-def _overlap(n: Column, percent: int) -> Column:
-    """Tokens that a set of n tokens shares at least with a similar one."""
-    return F.ceil(n * percent / 100).cast("int")
-
-
-def _leading_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, sig2, keys): as _sets, but keys are the tokens with the smallest hashes."""
-    n = F.size("s")
-    lead = n - _overlap(n, percent) + F.greatest(F.lit(1), F.floor(n / LEAD)).cast("int")
-    rows = docs.select("doc_id", shingles(F.col("text"), words).alias("s"))
-    return rows.select("doc_id", n.alias("n_shingles"), F.xxhash64("s").alias("sig"), F.xxhash64(F.lit("second"), "s").alias("sig2"), F.slice("s", F.lit(1), lead).alias("keys"))
-
-
-def _rare_keys(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rep, keys) of the sets that may be similar to another one; keys are the prefixes, rare tokens first."""
-    repeated = lambda rows: rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("df")).where("first < last").select("key", "df")
-    of = ["rep", "sig", "n_shingles"]
-    rows = classes.select(*of, F.explode("keys").alias("key"))
-    # The smallest partner has _overlap(n) tokens and so the shorter lead.
-    least = F.greatest(F.lit(1), F.floor(_overlap(F.col("n_shingles"), percent) / LEAD))
-    stay = durable(rows.join(repeated(rows), "key").groupBy(*of).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).select(*of), "jaccard-stay")
-    texts = docs.join(broadcast_if(stay, stay.count(), MAX_BROADCAST), docs["doc_id"] == stay["rep"]).select(*of, shingles(F.col("text"), words).alias("s"))
-    # Rows that repeat a doc_id may have other texts.
-    tokens = durable(texts.where(F.xxhash64("s") == F.col("sig")).select(*of, F.explode("s").alias("key")), "jaccard-tokens")
-    shared = tokens.join(repeated(tokens), "key").groupBy(*of).agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("k"))
-    length = F.size("k") - _overlap(F.col("n_shingles"), percent) + 1
-    return shared.where(length > 0).select("rep", F.slice("k.key", F.lit(1), length).alias("keys"))
-
-
-def _groups(classes: DataFrame) -> DataFrame:
-    """(rep, grp): groups within which all similar pairs lie."""
-    rows = classes.select("rep", F.explode("keys").alias("key"))
-    first = rows.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
-    edges = rows.join(first, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-
-
-def _prefix_ids(ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, percent: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, starts) of each set's prefix under an order: rare tokens of the block first, then by hash."""
-    count = np.bincount(ids)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    level = np.log2(count[ids]).astype(np.int64)
-    sort = np.lexsort((_mix(tokens, 10 + order), level, of))
-    length = sizes - (percent * sizes + 99) // 100 + 1
-    rank = np.arange(len(ids)) - np.repeat(starts, sizes)
-    return ids[sort][rank < length[of]], np.r_[0, np.cumsum(length)[:-1]]
-
-
-def linked(sets: list[np.ndarray], percent: int, orders: int = ORDERS) -> np.ndarray:
-    """The index of the first member of each non-empty set's component, over exact similarity."""
-    sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets).view(np.uint64)
-    _, ids = np.unique(tokens, return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    prefixes = [_prefix_ids(ids, tokens, starts, sizes, percent, k) for k in range(orders)]
-    root, marked = np.full(len(sets), -1), np.zeros(ids.max() + 1, bool)
-    for seed in range(len(sets)):
-        if root[seed] >= 0:
-            continue
-        root[seed], queue = seed, [seed]
-        while queue:
-            x = queue.pop()
-            candidates = (root < 0) & (100 * sizes >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes)
-            if not candidates.any():
-                continue
-            for flat, at in prefixes:
-                own = flat[at[x] : at[x + 1] if x + 1 < len(at) else len(flat)]
-                marked[own] = True
-                candidates &= np.logical_or.reduceat(marked[flat], at)
-                marked[own] = False
-            hits = np.flatnonzero(candidates)
-            if not len(hits):
-                continue
-            own = ids[starts[x] : starts[x] + sizes[x]]
-            marked[own] = True
-            pos = np.repeat(starts[hits] - np.r_[0, np.cumsum(sizes[hits])[:-1]], sizes[hits]) + np.arange(sizes[hits].sum())
-            common = np.add.reduceat(marked[ids[pos]], np.r_[0, np.cumsum(sizes[hits])[:-1]], dtype=np.int64)
-            marked[own] = False
-            new = hits[100 * common >= percent * (sizes[hits] + sizes[x] - common)]
-            root[new] = seed
-            queue.extend(new.tolist())
-    return root
-
-
-def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int, orders: int, block: int) -> DataFrame:
-    """(a, b): edges that connect exactly what similarity connects."""
-    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("block"), "rep"), blocks).cast("int")
-    # A group of one block goes to one task; of more, each document goes to every pair of blocks with its own.
-    dealt = sized.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    dealt = dealt.select("rep", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = durable(dealt, "jaccard-blocks")
-    rows = docs.join(broadcast_if(dealt, dealt.count(), MAX_BROADCAST), docs["doc_id"] == dealt["rep"]).select("grp", "i", "j", "rep", "text")
-    rows = rows.repartition("grp", "i", "j").select("grp", "i", "j", "rep", shingles(F.col("text"), words).alias("s"))
-
-    def verify(part: pa.Table) -> pa.Table:
-        reps = part.column("rep").to_numpy()
-        order = np.argsort(reps, kind="stable")
-        lists = part.column("s").combine_chunks()
-        flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        sets = [flat[offsets[k] : offsets[k + 1]] for k in order]
-        keep = [k for k, s in enumerate(sets) if len(s)]
-        reps = reps[order][keep]
-        root = linked([sets[k] for k in keep], percent, orders) if keep else np.zeros(0, int)
-        edge = root != np.arange(len(root))
-        return pa.table({"a": pa.array(reps[edge], pa.int64()), "b": pa.array(reps[root[edge]], pa.int64())})
-
-    return rows.groupBy("grp", "i", "j").applyInArrow(verify, "a bigint, b bigint")
-
-
-def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs`; doc_id must be a bigint."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parted = percent >= PARTED
-    sets = durable((_sets if parted else _leading_sets)(docs, words, percent), "jaccard-sets")
-    known = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("sig", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = durable(classes, "jaccard-classes")
-    keyed = classes if parted else durable(_rare_keys(docs, classes, words, percent), "jaccard-rare-keys")
-    groups = durable(_groups(keyed), "jaccard-groups")
-    edges = durable(_links(docs, groups, words, percent, orders, block), "jaccard-links")
-    found = components(edges)
-    named = classes.select("sig", "sig2", "n_shingles", "rep").join(found, F.col("rep") == F.col("node"), "left").select("sig", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rows = known.select("doc_id", "n_shingles", "sig", "sig2").join(named, ["sig", "sig2", "n_shingles"], "left").select("doc_id", "n_shingles", "component_id")
-    alone = sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.unionByName(alone).withColumn("n_shingles", F.col("n_shingles").cast("bigint"))
+from .common import broadcast_small, durable
+from .shingles import mix, sliced, token_sets
+
+WORDS, PERCENT, ORDERS = 5, 80, 3
+SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: A list with at most so many sets beside its largest component is closed; turns of pivots before all are.
+CLOSE, TURNS = 16, 6
+_MANY = 0xFFFF
+
+
+def _requests(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """Rows for buckets: (bucket, slice, tokens, refs), and one a slice with what is known of its documents."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # The scan gives each partition the same rows in the same order again, so that a lost task repeats its slices.
+        at = TaskContext.get().partitionId() << 32
+        for ids, data, ends in sliced(batches, SLICE_BYTES, _MANY):
+            token, ref, sizes, names = token_sets(data, ends, words)
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            count = np.diff(np.r_[first, len(token)])
+            local = np.bincount(ref[np.repeat(count > 1, count)], minlength=len(ids)).astype(np.uint32)
+            one, mark = token[first], np.where(count > 1, _MANY, ref[first]).astype(np.uint16)
+            bucket = ((one >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            to, start = np.unique(bucket, return_index=True)
+            stop = np.r_[start[1:], len(one)]
+            low = one.astype(np.uint32)
+            n = len(to)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*to.tolist(), -1 - at % buckets], pa.int32()),
+                    pa.array([at] * (n + 1), pa.int64()),
+                    pa.array([*(low[a:b].tobytes() for a, b in zip(start, stop, strict=True)), local.tobytes()], pa.binary()),
+                    pa.array([*(mark[a:b].tobytes() for a, b in zip(start, stop, strict=True)), b""], pa.binary()),
+                    pa.concat_arrays([pa.nulls(n, pa.list_(ids.type)), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]),
+                    pa.array([None] * n + [sizes.astype(np.uint32).tobytes()], pa.binary()),
+                    pa.array([None] * n + [names], pa.binary()),
+                ],
+                names=["bucket", "slice", "a", "b", "ids", "sizes", "names"],
+            )
+            at += 1
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(scan, f"bucket int, slice bigint, a binary, b binary, ids array<{kind}>, sizes binary, names binary")
+
+
+def _answer(part: pa.Table) -> pa.Table:
+    """For each slice, its documents and their numbers of tokens that this bucket got more than once."""
+    out = part.select(["slice", "a", "b", "ids", "sizes", "names"])
+    if part.column("bucket")[0].as_py() < 0:
+        return out
+    tokens = [np.frombuffer(x.as_py(), np.uint32) for x in part.column("a")]
+    refs = [np.frombuffer(x.as_py(), np.uint16) for x in part.column("b")]
+    token, ref = np.concatenate(tokens), np.concatenate(refs)
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])
+    count = np.diff(np.r_[first, len(token)])
+    twice = np.empty(len(token), bool)
+    twice[order] = np.repeat((count > 1) | np.logical_or.reduceat((ref == _MANY)[order], first), count)
+    twice &= ref != _MANY
+    ends = np.cumsum([len(x) for x in tokens])
+    who, many = [], []
+    for start, stop in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        n = np.bincount(ref[start:stop][twice[start:stop]])
+        at = np.flatnonzero(n)
+        who.append(at.astype(np.uint16).tobytes())
+        many.append(n[at].astype(np.uint32).tobytes())
+    return out.set_column(1, "a", pa.array(many, pa.binary())).set_column(2, "b", pa.array(who, pa.binary()))
+
+
+def _gathered(percent: int, kind: pa.DataType):
+    def gather(part: pa.Table) -> pa.Table:
+        own = next(r for r in part.to_pylist() if r["ids"] is not None)
+        n = np.frombuffer(own["sizes"], np.uint32).astype(np.int64)
+        shared = np.frombuffer(own["a"], np.uint32).astype(np.int64)
+        for many, who, sizes in zip(part.column("a"), part.column("b"), part.column("sizes"), strict=True):
+            if not sizes.is_valid:
+                shared[np.frombuffer(who.as_py(), np.uint16)] += np.frombuffer(many.as_py(), np.uint32)
+        names = [own["names"][k : k + 16] for k in range(0, 16 * len(n), 16)]
+        return pa.table({"doc_id": pa.array(own["ids"], kind), "n_shingles": pa.array(n), "node": pa.array(names, pa.binary()), "stays": pa.array((n > 0) & (100 * shared >= percent * n))})
+
+    return gather
+
+
+def judged_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, node, stays) of every row: the set's size and name, and whether it may have a partner."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    name = kind.simpleString()
+    answers = _requests(docs, words, buckets).groupBy("bucket").applyInArrow(_answer, f"slice bigint, a binary, b binary, ids array<{name}>, sizes binary, names binary")
+    return answers.groupBy("slice").applyInArrow(_gathered(percent, to_arrow_type(kind)), f"doc_id {name}, n_shingles bigint, node binary, stays boolean")
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, n, tokens) of the classes that stay, one row each."""
+    reps = classes.where("stays").select("node", F.col("rep").alias("__rep"))
+    texts = docs.join(broadcast_small(reps), docs["doc_id"] == reps["__rep"]).select("node", "text")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, data, ends in sliced(batches, SLICE_BYTES, _MANY, "node"):
+            token, ref, sizes, names = token_sets(data, ends, words)
+            order = np.argsort(ref, kind="stable")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(token[order].view(np.int64)))
+            # Rows that repeat a doc_id may have other texts.
+            same = pa.array([x.as_py() == names[16 * k : 16 * k + 16] for k, x in enumerate(nodes)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes), lists], names=["node", "n", "tokens"]).filter(same)
+
+    return texts.mapInArrow(build, "node binary, n bigint, tokens array<bigint>").dropDuplicates(["node"])
+
+
+def _least_overlap(n: Column, percent: int) -> Column:
+    """Tokens that a set of n shares at least with a similar one."""
+    return F.ceil(n * percent / 100 - F.lit(1e-9))
+
+
+def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(node, n, p0, p1, ...): the repeated tokens of each set's prefix under every order; sets without any are left out."""
+    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("k"))
+    length = (F.size("k") - _least_overlap(F.col("n"), percent) + 1).cast("int")
+    # By number of documents, then by token; the others by its magnitude, then by a hash of their own.
+    ranked = []
+    for order in range(orders):
+        by = (lambda x: F.struct(x["df"].alias("df"), x["token"].alias("by"), x["token"].alias("token"))) if order == 0 else (lambda x, o=order: F.struct(F.floor(F.log2(x["df"])).alias("df"), F.xxhash64(F.lit(o), x["token"]).alias("by"), x["token"].alias("token")))
+        ranked.append(F.slice(F.sort_array(F.transform("k", by)), F.lit(1), length)["token"].alias(f"p{order}"))
+    return shared.where(length > 0).select("node", "n", *ranked)
+
+
+def _similar_size(a: Column, b: Column, percent: int) -> Column:
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(a, b) of the pairs that pass every order's filter and are similar."""
+    for side in ("a", "b"):
+        own = prefix.select(F.col("node").alias(side), *(F.col(f"p{k}").alias(f"{side}{k}") for k in range(1, orders)))
+        pairs = pairs.join(own, side)
+    for k in range(1, orders):
+        pairs = pairs.where(F.arrays_overlap(f"a{k}", f"b{k}"))
+    met = durable(pairs.select("a", "b"), "jaccard-candidates")
+    for side in ("a", "b"):
+        met = met.join(sets.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}")), side)
+    common = F.size(F.array_intersect("ta", "tb"))
+    scored = met.select("a", "b", common.alias("c"), (F.size("ta") + F.size("tb")).alias("n"))
+    return scored.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
+
+
+def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS, close: int = CLOSE, turns: int = TURNS) -> DataFrame:
+    """(a, b): verified links that connect exactly what similarity connects."""
+    found = prefix.sparkSession.createDataFrame([], "a binary, b binary")
+    lists = prefix.select(F.explode("p0").alias("token"), "node", "n", F.col("node").alias("comp"))
+    for turn in range(turns + 1):
+        lists = durable(lists, "jaccard-lists")
+        # A prefix token of a few sets only is the rule: their components are counted before lists are.
+        per = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+        per = per.agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        per = per.select("token", F.col("top.comp").alias("main"), ((F.col("m") - F.col("top.c") <= close) | F.lit(turn == turns)).alias("closes"))
+        members = durable(lists.join(per, "token"), "jaccard-members")
+        few, many = members.where("closes"), members.where("not closes")
+        x, y = few.where("comp <> main").alias("x"), few.alias("y")
+        # Each pair across components once: of two that both are beside the main one, the smaller node asks.
+        ask = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        all_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ask & _similar_size(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp")))
+        pivots = many.groupBy("token").agg(first(F.expr("comp = main")).alias("u"), first(F.expr("comp <> main")).alias("v"))
+        pivots = pivots.select("token", F.explode(F.array("u", "v")).alias("pivot"))
+        star = many.join(pivots, "token").where((F.col("comp") != F.col("pivot.comp")) & _similar_size(F.col("n"), F.col("pivot.n"), percent)).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+        pairs = all_pairs.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = durable(_verified(durable(pairs, "jaccard-pairs"), prefix, sets, percent, orders), "jaccard-links")
+        found = found.unionByName(new)
+        left = many.select("token", "node", "n")
+        if turn == turns or not left.limit(1).count():
+            return found
+        named = components(found).withColumnRenamed("component", "__comp")
+        lists = left.join(named, "node", "left").select("token", "node", "n", F.coalesce("__comp", "node").alias("comp"))
+    return found
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, close: int = CLOSE, turns: int = TURNS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the smallest doc_id reachable by links."""
+    docs = docs.select("doc_id", "text")
+    rows = durable(judged_sets(docs, words, percent), "jaccard-rows")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = durable(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("stays").alias("stays"), F.first("n_shingles").alias("n")), "jaccard-classes")
+    sets = durable(_sets_of(docs, classes, words), "jaccard-sets")
+    prefix = durable(prefixes(sets, percent, orders), "jaccard-prefixes")
+    found = durable(components(links(prefix, sets, percent, orders, close, turns)), "jaccard-components")
+    # A component is named by the smallest doc_id of its classes.
+    names = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
+    named = classes.join(found, "node", "left").join(names, "component", "left").select("node", F.coalesce("name", "rep").alias("component_id"))
+    linked = known.select("doc_id", "n_shingles", "node").join(named, "node", "left").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillframe.llm import (
-    cuckoo, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, suffix_array, suffix_dedup, training_order, url_filter,
+    cuckoo, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, shingles, substring_dedup, suffix_array, suffix_dedup, training_order, url_filter,
 )
 
 WORDS = "alpha beta gamma delta the of and river stone mountain Ünder été naïve".split()
@@ -190,11 +190,11 @@ def test_language_id(spark):
     assert {x.lang_pred for x in language_id.identify(df, language_id.train(empty(df))).collect()} == {"und"}
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, words=3, percent=90):
     sets = {}
     for i, t, *_ in rows:
         ws = [w for w in re.split("[ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-        sets[i] = {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)} if len(ws) > 2 else {tuple(ws)} if ws else set()
+        sets[i] = {tuple(ws[k : k + words]) for k in range(len(ws) - words + 1)} if len(ws) >= words else {tuple(ws)} if ws else set()
     comp = {i: i for i in sets}
 
     def root(i):
@@ -211,23 +211,50 @@ def brute_components(rows, percent=90):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [400, 5])
-def test_jaccard_join(spark, corpus, block):
+@pytest.mark.parametrize(("words", "percent", "close", "turns"), [(3, 90, 16, 6), (5, 80, 0, 2), (5, 80, 2, 0)])
+def test_jaccard_join(spark, corpus, words, percent, close, turns):
     r = random.Random(8)
     rows = [x[:2] for x in corpus[0]]
     base = [r.choice("abcdefghij") + str(r.randrange(200)) for _ in range(200)]
     for k in range(30):
         ws = list(base)
-        for _ in range(r.randint(0, 4)):
+        for _ in range(r.randint(0, 6)):
             ws[r.randrange(200)] = f"new{k}"
         rows.append((1000 + k, " ".join(ws)))
+    # A chain whose ends are not similar, and sets that share much without any link.
+    rows += [(2000 + k, " ".join(base[5 * k : 100 + 5 * k])) for k in range(20)]
     df = spark.createDataFrame([(*x, "n") for x in rows], "doc_id bigint, text string, n_shingles string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, block=block).collect()}
-    assert got == brute_components(rows)
-    assert len({c for i, (_, c) in got.items() if i >= 1000}) < 30
+    want = brute_components(rows, words, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, words, percent, close=close, turns=turns).collect()}
+    assert got == want
+    assert 1 < len({c for i, (_, c) in got.items() if i >= 1000}) < 30
     assert jaccard_join.similar_documents(empty(df)).count() == 0
 
 
+def test_jaccard_join_of_long_and_repeated_texts(spark, monkeypatch):
+    r = random.Random(5)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(300_000))
+    rows = [("b", long), ("a", long + " tail"), ("c", "x y z"), ("c", "x y z"), ("c", long.upper()), (None, long), ("d", "X  Y\tz"), ("e", "é " * 9)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted((r.doc_id or "", r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df).collect())
+    n = 300_000 - 4
+    assert got == [("", n, None), ("a", n + 1, "a"), ("b", n, "a"), ("c", 1, "c"), ("c", 1, "c"), ("c", n, "a"), ("d", 1, "c"), ("e", 1, "e")]
+
+
+def test_words_across_stretches(monkeypatch):
+    r = random.Random(6)
+    text = "".join(r.choice("ab Ä\n\u3000") for _ in range(5000)).encode()
+    ends = np.array([0, 0, 700, 701, 2500, len(text)])
+    whole = shingles.words_of(np.frombuffer(text, np.uint8), ends)
+    monkeypatch.setattr(shingles, "STRETCH", 64)
+    pieces = shingles.words_of(np.frombuffer(text, np.uint8), ends)
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    words = [(w, k) for k in range(5) for w in re.split(rb"[ \t\n\x0b\x0c\r]+", text[ends[k] : ends[k + 1]]) if w]
+    assert [k for _, k in words] == whole[1].tolist()
+    names = {}
+    assert all(names.setdefault(w, h) == h for (w, _), h in zip(words, whole[0].tolist(), strict=True)) and len(set(names.values())) == len(names)
+
+
 def brute_contamination(rows, items):
     words = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     wins = defaultdict(set)
