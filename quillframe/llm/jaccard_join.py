@@ -11,9 +11,10 @@ n - ceil(t n) + 1 tokens of each, under every order; a pair that lacks one under
    are cut under every order. Tokens that occur once come first and make no candidate.
 3. Candidates. Sets that share a prefix token under the first order are a list. A list of few sets that are not connected
    yet gives all pairs across components, which closes it. Of a longer one, members are first compared with two
-   pivots, of its largest component and of the rest; what gets connected needs no comparison with each other. After
-   `turns` turns, the pairs across components that remain are all made. So a group of near copies costs
-   rows in proportion to its members, and no pair of different components is left out.
+   pivots, of its largest component and of the rest; what gets connected needs no comparison with each other. Once all
+   pairs across components that remain are at most `room` for each member of a list at the start (or after `turns`
+   turns, whatever their number), all are made. So a group of near copies costs rows in proportion to its members, and
+   no pair of different components is left out.
 4. Intersection and verification. Pairs that also share a token under the other orders get both sets and are compared
    exactly. Components grow over verified links only.
 
@@ -39,8 +40,8 @@ from .shingles import mix, sliced, token_sets
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
 SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-#: A list with at most so many sets beside its largest component is closed; turns of pivots before all are.
-CLOSE, TURNS = 16, 6
+#: A list with at most so many sets beside its largest component is closed at once; pairs a member for closing all; most turns.
+CLOSE, ROOM, TURNS = 16, 4, 6
 _MANY = 0xFFFF
 
 
@@ -186,7 +187,16 @@ def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int
     return scored.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS, close: int = CLOSE, turns: int = TURNS) -> DataFrame:
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the members of each list with its two pivots, where components differ."""
+    first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp")))
+    pivots = members.groupBy("token").agg(first(F.expr("comp = main")).alias("u"), first(F.expr("comp <> main")).alias("v"))
+    pivots = pivots.select("token", F.explode(F.array("u", "v")).alias("pivot"))
+    met = members.join(pivots, "token").where((F.col("comp") != F.col("pivot.comp")) & _similar_size(F.col("n"), F.col("pivot.n"), percent))
+    return met.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+
+
+def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS, close: int = CLOSE, room: int = ROOM, turns: int = TURNS) -> DataFrame:
     """(a, b): verified links that connect exactly what similarity connects."""
     found = prefix.sparkSession.createDataFrame([], "a binary, b binary")
     lists = prefix.select(F.explode("p0").alias("token"), "node", "n", F.col("node").alias("comp"))
@@ -195,29 +205,30 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
         # A prefix token of a few sets only is the rule: their components are counted before lists are.
         per = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
         per = per.agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        per = per.select("token", F.col("top.comp").alias("main"), ((F.col("m") - F.col("top.c") <= close) | F.lit(turn == turns)).alias("closes"))
-        members = durable(lists.join(per, "token"), "jaccard-members")
-        few, many = members.where("closes"), members.where("not closes")
+        per = durable(per.select("token", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("rest")), "jaccard-open-lists")
+        open_ = per.agg(F.coalesce(F.sum(F.when(F.col("rest") > close, F.col("rest") * F.col("m"))), F.lit(0)).alias("pairs")).first()
+        budget = room * lists.count() if turn == 0 else budget
+        last = turn == turns or open_["pairs"] <= budget
+        members = durable(lists.join(per.drop("m"), "token"), "jaccard-members")
+        few, many = members if last else members.where(F.col("rest") <= close), members.where(F.col("rest") > close)
         x, y = few.where("comp <> main").alias("x"), few.alias("y")
         # Each pair across components once: of two that both are beside the main one, the smaller node asks.
         ask = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         all_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ask & _similar_size(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp")))
-        pivots = many.groupBy("token").agg(first(F.expr("comp = main")).alias("u"), first(F.expr("comp <> main")).alias("v"))
-        pivots = pivots.select("token", F.explode(F.array("u", "v")).alias("pivot"))
-        star = many.join(pivots, "token").where((F.col("comp") != F.col("pivot.comp")) & _similar_size(F.col("n"), F.col("pivot.n"), percent)).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-        pairs = all_pairs.unionByName(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = durable(_verified(durable(pairs, "jaccard-pairs"), prefix, sets, percent, orders), "jaccard-links")
+        pairs = all_pairs
+        if not last:
+            pairs = pairs.unionByName(_stars(many, percent))
+        pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+        new = durable(_verified(pairs, prefix, sets, percent, orders), "jaccard-links")
         found = found.unionByName(new)
-        left = many.select("token", "node", "n")
-        if turn == turns or not left.limit(1).count():
+        if last:
             return found
         named = components(found).withColumnRenamed("component", "__comp")
-        lists = left.join(named, "node", "left").select("token", "node", "n", F.coalesce("__comp", "node").alias("comp"))
+        lists = many.join(named, "node", "left").select("token", "node", "n", F.coalesce("__comp", "node").alias("comp"))
     return found
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, close: int = CLOSE, turns: int = TURNS) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, close: int = CLOSE, room: int = ROOM, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
     rows = durable(judged_sets(docs, words, percent), "jaccard-rows")
@@ -225,7 +236,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     classes = durable(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("stays").alias("stays"), F.first("n_shingles").alias("n")), "jaccard-classes")
     sets = durable(_sets_of(docs, classes, words), "jaccard-sets")
     prefix = durable(prefixes(sets, percent, orders), "jaccard-prefixes")
-    found = durable(components(links(prefix, sets, percent, orders, close, turns)), "jaccard-components")
+    found = durable(components(links(prefix, sets, percent, orders, close, room, turns)), "jaccard-components")
     # A component is named by the smallest doc_id of its classes.
     names = found.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("name"))
     named = classes.join(found, "node", "left").join(names, "component", "left").select("node", F.coalesce("name", "rep").alias("component_id"))

@@ -211,8 +211,8 @@ def brute_components(rows, words=3, percent=90):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("words", "percent", "close", "turns"), [(3, 90, 16, 6), (5, 80, 0, 2), (5, 80, 2, 0)])
-def test_jaccard_join(spark, corpus, words, percent, close, turns):
+@pytest.mark.parametrize(("words", "percent", "close", "room", "turns"), [(3, 90, 16, 4, 6), (5, 80, 2, 0, 2), (5, 80, 0, 0, 1)])
+def test_jaccard_join(spark, corpus, words, percent, close, room, turns):
     r = random.Random(8)
     rows = [x[:2] for x in corpus[0]]
     base = [r.choice("abcdefghij") + str(r.randrange(200)) for _ in range(200)]
@@ -225,7 +225,7 @@ def test_jaccard_join(spark, corpus, words, percent, close, turns):
     rows += [(2000 + k, " ".join(base[5 * k : 100 + 5 * k])) for k in range(20)]
     df = spark.createDataFrame([(*x, "n") for x in rows], "doc_id bigint, text string, n_shingles string")
     want = brute_components(rows, words, percent)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, words, percent, close=close, turns=turns).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df, words, percent, close=close, room=room, turns=turns).collect()}
     assert got == want
     assert 1 < len({c for i, (_, c) in got.items() if i >= 1000}) < 30
     assert jaccard_join.similar_documents(empty(df)).count() == 0
