@@ -2,9 +2,13 @@
 
 Suffixes are classed as smaller (S) or larger (L) than their successor; the leftmost smaller ones (LMS) are
 sorted by their substrings, which one induction orders and names; names that repeat are sorted by the suffixes
-of the string of names (recursively while its alphabet is small, else by doubling ranks); a second
-induction spreads that order to all suffixes in linear time. An induction walks through the
-buckets of the alphabet; what one bucket induces is placed as an array, in scan order.
+of the string of names; a second induction spreads that order to all suffixes in linear time. An induction
+walks through the buckets of the alphabet; what one bucket induces is placed as an array, in scan order.
+
+The string of names is sorted in the same way again while its alphabet is small. With a large one, where most buckets
+would hold one suffix and a walk through buckets would no longer work on arrays, its ranks are doubled, by counting
+sorts of 16-bit digits. With a given `depth`, as all callers here have it, that takes about log2(depth) rounds of a
+fixed number of counting sorts, so that this step is linear in the text, too.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ def _place(sa: np.ndarray, at: np.ndarray, chars: np.ndarray, where: np.ndarray,
 
 def _induce(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The suffix array that the given order of LMS suffixes induces; buckets are starts[c]..ends[c] - 1."""
-    sa = np.full(len(text), -1, np.int64)
+    sa = np.full(len(text), -1, np.int32)
     tail = ends - 1
     _place(sa, tail, text[lms[::-1]], lms[::-1], -1)
     lms_from, head = tail + 1, starts.copy()
@@ -78,16 +82,26 @@ def _induce(text: np.ndarray, smaller: np.ndarray, starts: np.ndarray, ends: np.
     return sa
 
 
+def _counting_order(*keys: tuple[np.ndarray, int]) -> np.ndarray:
+    """Stable order by several (key, greatest value), the first one leading: counting sorts of 16-bit digits."""
+    order = None
+    for key, most in reversed(keys):
+        for shift in range(0, max(1, int(most).bit_length()), 16):
+            digit = (key >> shift).astype(np.uint16)
+            step = np.argsort(digit if order is None else digit[order], kind="stable")
+            order = step if order is None else order[step]
+    return order
+
+
 def _doubling(names: np.ndarray, depth: int | None) -> np.ndarray:
     """Suffix order of a string of names by doubling ranks, over at least `depth` names if given."""
-    n, rank, k = len(names), np.unique(names, return_inverse=True)[1].astype(np.int64), 1
+    n, rank, k = len(names), names.astype(np.int32), 1
     while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - k] = rank[k:]
-        key = rank * (n + 1) + nxt + 1
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        rank = np.empty(n, np.int64)
+        nxt = np.zeros(n, np.int32)
+        nxt[: n - k] = rank[k:] + 1
+        order = _counting_order((rank, n), (nxt, n))
+        same = (rank[order][1:] == rank[order][:-1]) & (nxt[order][1:] == nxt[order][:-1])
+        rank = np.empty(n, np.int32)
         rank[order] = np.r_[0, np.cumsum(~same)]
         k *= 2
         if not same.any() or k >= n or depth is not None and k >= depth:
@@ -99,24 +113,24 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
 
     With `depth`, suffixes that agree in their first `depth` symbols may stand in any order.
     """
-    whole = np.r_[text.astype(np.int64) + 1, 0]
+    whole = np.r_[text.astype(np.int32) + 1, np.int32(0)].astype(np.int32)
     return _sorted(whole, depth)[1:]
 
 
 def _sorted(text: np.ndarray, depth: int | None) -> np.ndarray:
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     counts = np.bincount(text)
     ends = np.cumsum(counts)
     starts = ends - counts
     smaller = _types(text)
     is_lms = np.r_[False, smaller[1:] & ~smaller[:-1]]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     sa = _induce(text, smaller, starts, ends, lms)
     by_substring = sa[is_lms[sa]]
     m = len(lms)
-    length = np.empty(n, np.int64)
+    length = np.empty(n, np.int32)
     length[lms] = np.r_[np.diff(lms) + 1, 1]
     a, b = by_substring[:-1], by_substring[1:]
     same = length[a] == length[b]
@@ -128,7 +142,7 @@ def _sorted(text: np.ndarray, depth: int | None) -> np.ndarray:
         live = live[~differs]
         k += 1
         live = live[length[a[live]] > k]
-    name = np.empty(n, np.int64)
+    name = np.empty(n, np.int32)
     name[by_substring] = np.r_[0, np.cumsum(~same)]
     names = name[lms]
     alphabet = int(names.max()) + 1
@@ -149,18 +163,18 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np
     suffixes follow a matching pair, the common prefix is one shorter than the pair's.
     """
     n = len(text)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     before = np.r_[-1, phi[:-1]]
     matched = (before >= 0) & (np.r_[0, room[:-1]] > 0) & (room[before] > 0)
     matched[1:] &= text[:-1] == text[before[1:]]
     reducible = matched & (phi == before + 1)
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     at = np.flatnonzero(~reducible & (phi >= 0))
     most = np.minimum(room[at], room[phi[at]])
     padded = np.r_[text.astype(np.uint64), np.zeros(4, np.uint64)]
     words = padded[:n] | padded[1 : n + 1] << np.uint64(16) | padded[2 : n + 2] << np.uint64(32) | padded[3 : n + 3] << np.uint64(48)
-    common, live, k = np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    common, live, k = np.zeros(len(at), np.int32), np.arange(len(at)), 0
     while len(live := live[most[live] > k]):
         x = words[at[live] + k] ^ words[phi[at[live]] + k]
         equal = x == 0
@@ -169,8 +183,9 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, room: np.ndarray) -> tuple[np
         live = live[equal]
         k += 4
     plcp[at] = np.minimum(common, most)
-    last = np.maximum.accumulate(np.where(reducible, -1, np.arange(n)))
-    return phi, np.maximum(0, plcp[last] - (np.arange(n) - last))
+    place = np.arange(n, dtype=np.int32)
+    last = np.maximum.accumulate(np.where(reducible, np.int32(-1), place))
+    return phi, np.maximum(0, plcp[last] - (place - last))
 
 
 def repeated_windows(segments: list[bytes], width: int) -> list[np.ndarray]:
@@ -178,7 +193,7 @@ def repeated_windows(segments: list[bytes], width: int) -> list[np.ndarray]:
     sizes = np.array([len(s) for s in segments])
     text = np.zeros(int((sizes + 1).sum()), np.uint16)
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
-    room = np.zeros(len(text), np.int64)
+    room = np.zeros(len(text), np.int32)
     for s, at in zip(segments, starts, strict=True):
         text[at : at + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
         room[at : at + len(s)] = np.arange(len(s), 0, -1)

@@ -161,6 +161,19 @@ def test_suffix_dedup(corpus, width, gram, group):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in got.items()} == want
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    r = random.Random(12)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 40_000)
+    noise = lambda n: bytes(r.choices(b"abcdefgh \n", k=n)).decode()
+    shared = noise(50_000)
+    rows = [(1, noise(90_000) + shared + noise(3000)), (2, noise(77) + shared), (3, noise(60_000) + shared[100:299]), (4, shared[41_000:41_200]), (5, "ß" * 70_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    data = np.frombuffer(rows[0][1].encode(), np.uint8)
+    assert len(suffix_dedup.segments(data, np.array([len(data)]))[0]) > 100
+    got = by_id(suffix_dedup.remove_repeated_strings(df, shard_bytes=20_000))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for i, r in got.items()} == brute_strings(rows, 200)
+
+
 def test_suffix_dedup_empty(corpus):
     assert suffix_dedup.remove_repeated_strings(empty(corpus[1])).count() == 0
 
