@@ -1,20 +1,23 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
 State of a `LineIndex`, as tables in the shared folder:
-- references (digest, doc_id, n): how many lines of a document have a key. Exact; deletions subtract from it.
-- owners (digest, owner, n_docs, n_refs): per key with at least two documents, the smallest doc_id. Exact.
+- references (digest, doc_id, n): how many lines of a document have a key. Exact. An insertion appends rows, a deletion
+  appends the same rows with negative n; readers add them up.
+- owners (digest, owner, n_refs): per key that at least two documents hold, the smallest doc_id. Exact.
 - filters (shard, filter): cuckoo filters of the owned keys, one a shard of the key space.
 
 A line is first looked up in its shard's filter; only possible hits reach the exact join with
 `owners`, which removes false positives. Filters are broadcast while they take at most
-`max_filter_bytes`; beyond, lines are sent to their shard's filter by a shuffle. insert() and
-delete() produce a new state from the old one, so that a document that is deleted gives its lines
-back to the next owner.
+`max_filter_bytes`; beyond, lines are sent to their shard's filter by a shuffle. insert() and delete() produce a
+new state from the old one, so that a document that is deleted gives its lines back to the next owner. They count
+only the keys concerned anew, put and remove single fingerprints, and write only the filters of shards in which some key
+got or lost its owner; a filter that is too full is built anew from its shard's owners.
 
 A key's rows are pre-aggregated before they shuffle, so a line that a third of all documents share
 costs a row a map task. Null or empty text: one empty line, which is too short to be dropped. A null
-doc_id owns nothing and loses nothing. Repeated doc_ids count as one document: their rows keep or
-lose lines alike. Other input columns are carried, but for those named like an output.
+doc_id owns nothing and loses nothing. Rows that repeat a doc_id are one document as owners; each loses its own lines,
+told apart by the hash of its text. Other input columns are carried, but for those named like an output. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, durable
+from .common import broadcast_if, durable, let
 from .cuckoo import CuckooFilter, built
 from .lines import exploded_lines
 
 LEAST_CHARS = 10
 KEYS_PER_SHARD = 1_000_000
 MAX_FILTER_BYTES = 64 << 20
-#: Most dropped lines (of some 20 bytes) that are broadcast instead of shuffling texts to them.
-MAX_BROADCAST = 1_000_000
+#: Most bytes of dropped lines that are broadcast instead of shuffling texts to them.
+MAX_BROADCAST_BYTES = 48 << 20
 
 
 def _hashes(digests: pa.Array) -> np.ndarray:
@@ -47,13 +50,30 @@ def shard_of(shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int")
 
 
+def _owned(references: DataFrame) -> DataFrame:
+    """(digest, owner, n_refs) of the keys that at least two documents hold."""
+    held = references.groupBy("digest", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+    per_key = held.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_refs"))
+    return per_key.where("n_docs > 1").select("digest", "owner", "n_refs")
+
+
 class LineIndex:
     def __init__(self, references: DataFrame, owners: DataFrame, filters: DataFrame, shards: int):
         self.references, self.owners, self.filters, self.shards = references, owners, filters, shards
 
+    @staticmethod
+    def _lines(docs: DataFrame, least: int) -> DataFrame:
+        return exploded_lines(docs.where("doc_id is not null").withColumn("version", F.xxhash64("text")), least, "doc_id", "version")
+
+    @staticmethod
+    def _counted(lines: DataFrame) -> DataFrame:
+        return lines.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
     @classmethod
-    def _from(cls, references: DataFrame, owners: DataFrame, keys_per_shard: int) -> LineIndex:
-        owners = durable(owners, "line-owners")
+    def of(cls, lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
+        """An index of lines (doc_id, digest), with the table of references, for insert() and delete()."""
+        references = durable(cls._counted(lines), "line-references")
+        owners = durable(_owned(references), "line-owners")
         shards = max(1, -(-owners.count() // keys_per_shard))
 
         def build(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,33 +89,53 @@ class LineIndex:
         filters = durable(rows.mapInArrow(build, "shard int, filter binary"), "line-filters")
         return cls(references, owners, filters, shards)
 
-    @staticmethod
-    def _lines(docs: DataFrame, least: int) -> DataFrame:
-        return exploded_lines(docs.where("doc_id is not null"), least, "doc_id")
-
-    @classmethod
-    def of(cls, lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        """An index of lines (doc_id, digest), with the table of references, for insert() and delete()."""
-        return cls._recounted(lines.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")), keys_per_shard)
-
     @classmethod
     def incremental(cls, docs: DataFrame, least: int = LEAST_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
         """An index of the lines of documents."""
         return cls.of(cls._lines(docs, least), keys_per_shard)
 
-    @classmethod
-    def _recounted(cls, references: DataFrame, keys_per_shard: int) -> LineIndex:
-        references = durable(references, "line-references")
-        per_key = references.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_refs"))
-        return cls._from(references, per_key.where("n_docs > 1").select("digest", "owner", "n_refs"), keys_per_shard)
-
-    def insert(self, docs: DataFrame, least: int = LEAST_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        more = self._lines(docs, least).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        merged = self.references.unionByName(more).groupBy("digest", "doc_id").agg(F.sum("n").alias("n"))
-        return self._recounted(merged, keys_per_shard)
-
-    def delete(self, doc_ids: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> LineIndex:
-        return self._recounted(self.references.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("digest", "doc_id", "n"), keys_per_shard)
+    def insert(self, docs: DataFrame, least: int = LEAST_CHARS) -> LineIndex:
+        """The index with the lines of more documents."""
+        return self._changed(durable(self._counted(self._lines(docs, least)), "line-inserted"))
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """The index without the documents named in the column doc_id."""
+        held = self.references.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        gone = held.groupBy("digest", "doc_id").agg((-F.sum("n")).alias("n")).where("n <> 0")
+        return self._changed(durable(gone, "line-deleted"))
+
+    def _changed(self, delta: DataFrame) -> LineIndex:
+        references = self.references.unionByName(delta)
+        keys = durable(delta.select("digest").distinct(), "line-keys")
+        now = durable(_owned(references.join(keys, "digest", "left_semi")), "line-owners")
+        owners = self.owners.join(keys, "digest", "left_anti").unionByName(now)
+        before = self.owners.join(keys, "digest", "left_semi").select("digest", F.lit(-1).alias("turn"))
+        turns = before.unionByName(now.select("digest", F.lit(1).alias("turn"))).groupBy("digest").agg(F.sum("turn").alias("turn")).where("turn <> 0")
+        turns = durable(turns.select(shard_of(self.shards).alias("shard"), "digest", "turn"), "line-turns")
+        touched = durable(turns.select("shard").distinct(), "line-shards")
+        full = -1
+
+        def update(left: pa.Table, right: pa.Table) -> pa.Table:
+            shard = (left if left.num_rows else right).column("shard")[0].as_py()
+            held = CuckooFilter.from_bytes(right.column("filter")[0].as_py()) if right.num_rows else CuckooFilter.for_keys(1)
+            turn, hashes = left.column("turn").to_numpy(), _hashes(left.column("digest").combine_chunks())
+            held.delete(hashes[turn < 0])
+            ok = held.insert(hashes[turn > 0])
+            return pa.table({"shard": pa.array([shard if ok else full - shard], pa.int32()), "filter": pa.array([held.to_bytes() if ok else b""], pa.binary())})
+
+        old = self.filters.join(touched, "shard", "left_semi")
+        new = durable(turns.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "line-filters")
+        filters = self.filters.join(touched, "shard", "left_anti").unionByName(new.where("shard >= 0"))
+        # A shard that has become too full gets a larger filter from its owners.
+        rebuilt = new.where("shard < 0").select((full - F.col("shard")).cast("int").alias("shard"))
+        if rebuilt.limit(1).count():
+            rows = owners.select(shard_of(self.shards).alias("shard"), "digest").join(rebuilt, "shard", "left_semi")
+
+            def build(part: pa.Table) -> pa.Table:
+                return pa.table({"shard": part.column("shard")[:1], "filter": pa.array([built(_hashes(part.column("digest").combine_chunks())).to_bytes()], pa.binary())})
+
+            filters = filters.unionByName(durable(rows.groupBy("shard").applyInArrow(build, "shard int, filter binary"), "line-filters"))
+        return LineIndex(references, owners, filters, self.shards)
 
     def possible(self, lines: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
         """The rows of `lines` (with a column digest) that their shard's filter may hold."""
@@ -133,9 +173,9 @@ class LineIndex:
         return salted.groupBy("__shard", "__part").cogroup(spread.groupBy("__shard", "__part")).applyInArrow(cogrouped, schema)
 
     def repeated(self, lines: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-        """(doc_id, pos) of the lines (doc_id, pos, digest) to drop: an owned key outside its owner."""
+        """(doc_id, version, pos) of the lines (doc_id, version, pos, digest) to drop: an owned key outside its owner."""
         hits = self.possible(lines, max_filter_bytes)
-        return hits.join(self.owners, "digest").where("doc_id > owner").select("doc_id", "pos")
+        return hits.join(self.owners, "digest").where("doc_id > owner").select("doc_id", "version", "pos")
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, least: int = LEAST_CHARS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -144,24 +184,15 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex | None = None, least:
     lines = durable(LineIndex._lines(docs, least), "line-digests")
     index = index or LineIndex.of(lines)
     gone = durable(index.repeated(lines, max_filter_bytes).distinct(), "line-drops")
-    n_gone = gone.count()
-    drops = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("__drop")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(broadcast_if(drops, n_gone, MAX_BROADCAST), docs["doc_id"] == drops["__id"], "left").drop("__id").withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint"))
-    schema = joined.drop("__drop").withColumn("n_dropped", F.lit(0).cast("bigint")).schema
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [f.name for f in schema].index("text")
-        for batch in batches:
-            texts, drop = batch.column("text"), batch.column("__drop").to_pylist()
-            changed = []
-            for i, gone in enumerate(drop):
-                text = texts[i].as_py()
-                if gone:
-                    lines, out = (text or "").split("\n"), set(gone)
-                    text = "\n".join(x for k, x in enumerate(lines) if k not in out)
-                changed.append(text)
-            columns = [batch.column(f.name) if f.name != "n_dropped" else pa.array([len(x or ()) for x in drop], pa.int64()) for f in schema]
-            columns[at] = pa.array(changed, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
-
-    return joined.mapInArrow(rewrite, schema)
+    drops = durable(gone.groupBy("doc_id", "version").agg(F.collect_list("pos").alias("__drop")), "line-drops-by-text")
+    size = drops.agg(F.coalesce(F.sum(48 + 4 * F.size("__drop")), F.lit(0))).first()[0]
+    drops = drops.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__drop")
+    same = (docs["doc_id"] == drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__version"])
+    joined = docs.join(broadcast_if(drops, size, MAX_BROADCAST_BYTES), same, "left").drop("__id", "__version")
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__drop"))
+    kept = let(F.split("text", "\n", -1), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint")
+    n_dropped = F.coalesce(F.size("__drop"), F.lit(0)).cast("bigint")
+    rows = joined.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(n_dropped).cast("bigint")})
+    # Texts that lose nothing are passed on as they are.
+    return rows.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)).drop("__drop")

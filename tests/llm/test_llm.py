@@ -83,13 +83,34 @@ def test_line_dedup(corpus):
 
 def test_line_index_is_reversible(corpus):
     _, df = corpus
-    half = df.where("doc_id % 2 = 0")
+    half, rest = df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")
+    rows = lambda index: {tuple(r) for r in index.owners.collect()}
     drops = lambda index, docs: {(r.doc_id, r.pos) for r in index.repeated(line_dedup.LineIndex._lines(docs, 10)).collect()}
-    index = line_dedup.LineIndex.incremental(half)
-    first = drops(index, half)
-    more = index.insert(df.where("doc_id % 2 = 1"))
-    assert drops(more, df) == drops(line_dedup.LineIndex.incremental(df), df) != first
-    assert drops(more.delete(df.where("doc_id % 2 = 1")), half) == first
+    index, whole = line_dedup.LineIndex.incremental(half), line_dedup.LineIndex.incremental(df)
+    more = index.insert(rest)
+    assert rows(more) == rows(whole) != rows(index) and drops(more, df) == drops(whole, df)
+    left = more.delete(rest)
+    assert rows(left) == rows(index) and drops(left, half) == drops(index, half)
+    assert rows(left.insert(rest)) == rows(whole)
+
+
+def test_line_index_changes_only_the_shards_concerned(spark):
+    line = lambda k: f"a shared line with number {k}"
+    rows = [(d, "\n".join(line(k) for k in range(60))) for d in (1, 2)] + [(3, line(7)), (4, line(1000) + "\n" + line(7))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = line_dedup.LineIndex.incremental(df, keys_per_shard=8)
+    held = lambda x: {r.shard: bytes(r.filter) for r in x.filters.collect()}
+    assert index.shards > 4
+    gone = index.delete(spark.createDataFrame([(3,), (4,)], "doc_id bigint"))
+    assert held(gone) == held(index)
+    more = gone.insert(spark.createDataFrame([(9, line(1000)), (10, line(1000))], "doc_id bigint, text string"))
+    changed = {s for s, x in held(more).items() if held(index).get(s) != x}
+    assert len(changed) == 1 and set(held(index)) <= set(held(more))
+    # So many keys that every filter has to grow.
+    wide = more.insert(spark.createDataFrame([(d, "\n".join(line(k) for k in range(2000, 2400))) for d in (20, 21)], "doc_id bigint, text string"))
+    assert wide.possible(line_dedup.LineIndex._lines(df.where("doc_id = 1"), 10)).count() == 60
+    new = line_dedup.LineIndex._lines(spark.createDataFrame([(30, "\n".join(line(k) for k in range(2000, 2400)))], "doc_id bigint, text string"), 10)
+    assert wide.repeated(new).count() == 400
 
 
 def test_line_dedup_builds_an_index_with_references(corpus, monkeypatch):
@@ -99,10 +120,14 @@ def test_line_dedup_builds_an_index_with_references(corpus, monkeypatch):
     line_dedup.drop_repeated_lines(df)
     lines = line_dedup.LineIndex._lines(df, 10)
     assert made[0].references.agg({"n": "sum"}).first()[0] == lines.count()
-    half = df.where("doc_id % 2 = 0")
-    left = made[0].delete(df.where("doc_id % 2 = 1"))
-    rows = lambda index: {tuple(r) for r in index.owners.collect()}
-    assert rows(left) == rows(line_dedup.LineIndex.incremental(half)) != rows(made[0])
+
+
+def test_line_dedup_of_rows_that_repeat_an_id(spark):
+    same, own = "a line that two documents share", "a line that nobody else has"
+    rows = [(1, same), (2, same), (2, own), (2, f"{own}\n{same}"), (None, same), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_repeated_lines(df).where("doc_id < 3 or doc_id is null").collect())
+    assert got == [(0, 1, 0, same), (1, 1, 0, same), (2, 1, 0, own), (2, 1, 1, ""), (2, 2, 1, own)]
 
 
 def test_cuckoo_filter():
