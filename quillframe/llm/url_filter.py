@@ -3,7 +3,8 @@
 The Bloom filter has blocks of 512 bits, eight words of 64; a key picks one block and sets one bit
 in each word. Filter rows (block, eight words) are bounded by `max_blocks`, whatever the list's
 length, so that they may always be broadcast: a longer list raises the share of false positives,
-which the exact join removes. Only possible hits reach that join.
+which the exact hash join removes. Only possible hits reach that join. At 12 bits a key and 2^20 blocks the filter is
+full at about 45 million keys; beyond, more and more rows reach the join, until at some 400 million nearly all do.
 
 Nulls, empty and odd urls: null or a url without "://" has empty host and path, no canonical form
 and so no rule and no listing: it is allowed. Repeated rows each get their verdict. Extra columns
@@ -116,7 +117,7 @@ def filter_urls(
     missed = probed.where("not __hit").select(*(F.col(f"`{c}`") for c in keep), F.lit(False).alias("__found"))
     hits = probed.where("__hit").select(*(F.col(f"`{c}`") for c in keep))
     # A hot url may be a third of all hits: in this outer join Spark can split its partition.
-    found = hits.join(keys, hits["__key"] == keys["__listed"], "left").select(*(F.col(f"`{c}`") for c in keep), F.col("__listed").isNotNull().alias("__found"))
+    found = hits.join(keys.hint("shuffle_hash"), hits["__key"] == keys["__listed"], "left").select(*(F.col(f"`{c}`") for c in keep), F.col("__listed").isNotNull().alias("__found"))
     return missed.unionByName(found).select(
         *(F.col(f"`{c}`") for c in rest if c not in out or c == url and url not in out),
         F.col("__host").alias("host"),
