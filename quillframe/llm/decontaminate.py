@@ -13,7 +13,7 @@ meet by (document, item, alignment).
 
 Nulls and odd rows: null or wordless texts have no words and are never contaminated; null or
 wordless items never match and are not counted. Items with fewer words than `width` are one window.
-Repeated items each count; repeated documents each get a row. A null doc_id is a document like
+An item_id counts once, however many rows or texts it has; repeated documents each get a row. A null doc_id is a document like
 others. Input columns that clash with outputs are replaced.
 """
 
@@ -136,13 +136,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, anc
 
     checked = joined.withColumn("__v", let(words_of(F.col("text")), verified)).drop("text", "cands")
     # Written once: what follows reads it twice, and filters would have texts cut into words anew.
-    checked = durable(checked.withColumns({"n_words": F.col("__v.n_words"), "spans": F.col("__v.spans")}).drop("__v"), "decontam-checked")
+    checked = checked.withColumns({"n_words": F.col("__v.n_words"), "spans": F.col("__v.spans"), "__row": F.monotonically_increasing_id()}).drop("__v")
+    checked = durable(checked, "decontam-checked")
     checked = checked.withColumns({"n_hit": _covered(F.col("spans")).cast("bigint"), "__uids": F.array_distinct(F.transform("spans", lambda x: x["uid"]))})
     # Item ids of the distinct sequences: few documents have any, only they are exploded.
-    none = checked.where("size(__uids) = 0").withColumn("item_ids", F.array().cast("array<string>"))
-    some = checked.where("size(__uids) > 0").withColumn("__row", F.monotonically_increasing_id())
+    none = checked.where("size(__uids) = 0").drop("__row").withColumn("item_ids", F.array().cast("array<string>"))
+    some = checked.where("size(__uids) > 0")
     ids = some.select("__row", F.explode("__uids").alias("uid")).join(broadcast_if(items, items.count(), MAX_BROADCAST // 100), "uid")
-    ids = ids.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+    ids = ids.groupBy("__row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     some = some.join(ids, "__row").drop("__row")
     both = none.unionByName(some).drop("__uids")
     return both.withColumns({"n_items": F.size("item_ids").cast("bigint"), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))})
