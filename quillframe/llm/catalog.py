@@ -19,7 +19,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["length"], x["keeper"])), ",")
-    return done.select("doc_id", "n_units", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
+    return done.select("doc_id", "n_removed_words", "n_removed", "n_removed_chars", "n_units", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), spans.alias("removed_spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ probability 1 - delta, in every stratum all rules together reject at most the sh
 documents. A stratum or rule without enough labels certifies nothing and rejects nothing.
 
 Null text counts as empty; a document without words has measures of 0 and fails the base rule.
-Repeated label rows of a document count once, as good only if all of them are. A null language is
+Repeated label rows of a document count once, as good only if all of them are; good documents with equal texts in a
+stratum count as one trial. A null language is
 the stratum "und". Repeated documents are each judged. Input columns whose names are taken by
 outputs are replaced.
 """
@@ -116,11 +117,13 @@ def binomial_tail(n: Column, r: Column, rate: float) -> Column:
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", cutoffs: dict = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one column a rule): the strictest certified cutoff, null where none is.
 
-    measured: doc_id, stratum and the measures. All labelled good documents count. The result has a row a stratum.
+    measured: doc_id, stratum, text_hash and the measures. All labelled good documents count; equal texts of a stratum are one
+    trial, since copies fail together and the bound is on independent ones. The result has a row a stratum.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     rejects = [F.sum((F.col(m) > c).cast("bigint")).alias(f"{m}__{i}") for m, cs in cutoffs.items() for i, c in enumerate(cs)]
-    counted = measured.join(good, "doc_id", "left_semi").groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *rejects)
+    trials = measured.join(good, "doc_id", "left_semi").groupBy(stratum, "text_hash").agg(*(F.max(m).alias(m) for m in cutoffs))
+    counted = trials.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *rejects)
     tried = F.array(*(F.struct(F.lit(m).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{m}__{i}").alias("r")) for m, cs in cutoffs.items() for i, c in enumerate(cs)))
     tests = counted.withColumn("n_strata", F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))).select(stratum, "n_good", "n_strata", F.inline(tried))
     level = F.lit(delta) / (F.col("n_strata") * len(cutoffs))
@@ -132,12 +135,13 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "st
 
 def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", cutoffs: dict = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """All documents with counts, measures, base_failed, each rule's cutoff and `kept`."""
-    taken = ("stratum", "base_failed", "kept")
-    measured = durable(measures(docs.drop(*taken), text).withColumn("stratum", F.coalesce(F.col(lang), F.lit("und"))), "quality-measures")
+    taken = ("stratum", "base_failed", "kept", "text_hash")
+    docs = docs.drop(*taken).withColumn("text_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    measured = durable(measures(docs, text).withColumn("stratum", F.coalesce(F.col(lang), F.lit("und"))), "quality-measures")
     cuts = certified_cutoffs(measured, labels, "stratum", cutoffs, alpha, delta)
     cuts = durable(cuts, "quality-cutoffs")
     joined = measured.join(broadcast_if(cuts, cuts.count(), MAX_BROADCAST_STRATA), "stratum", "left")
     rejected = F.lit(False)
     for m in cutoffs:
         rejected = rejected | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return joined.drop("text_hash").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)

@@ -40,13 +40,13 @@ with l as (
   select *, {_lower(f"regexp_replace(regexp_replace(line, '[{SPACE}]+', ' ', 'g'), '^ | $', '', 'g')")} as nkey,
     coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as off from l
 ), u as (
-  select *, case when len(list_filter(string_split(nkey, ' '), lambda x: x <> '')) >= 8 then 1 else 0 end counts from k
+  select *, len(list_filter(string_split(nkey, ' '), lambda x: x <> '')) nw, case when nw >= 8 then 1 else 0 end counts from k
 ), f as (
   select *, first_value(doc_id) over w keeper, row_number() over w rn from u window w as (partition by case when counts = 1 then nkey else doc_id || ' ' || pos end, counts order by doc_id, pos)
 ), d as (
   select *, counts = 1 and rn > 1 gone from f
 )
-select doc_id, count(*) n_units, count(*) filter (gone) n_removed,
+select doc_id, coalesce(sum(nw) filter (gone), 0)::bigint n_removed_words, count(*) filter (gone) n_removed, coalesce(sum(length(line)) filter (gone), 0)::bigint n_removed_chars, count(*) n_units,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256,
   coalesce(string_agg(off || ':' || length(line) || ':' || keeper, ',' order by pos) filter (gone), '') removed_spans
 from d group by doc_id
@@ -109,14 +109,14 @@ _TESTS = " union all ".join(
 _RATE = ALPHA / _R
 OP10 = rf"""
 with w as (
-  select doc_id, coalesce(lang, 'und') stratum, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') ws,
+  select doc_id, coalesce(lang, 'und') stratum, coalesce(text, '') t, sha256(coalesce(text, '')) th, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) ls from documents
 ), g as (
   select doc_id, unnest(range(1, len(ws) - 6)) p, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) g from w where len(ws) >= 8
 ), tw as (select doc_id, p from (select *, count(*) over (partition by doc_id, g) c from g) where c > 1),
 rep as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + 8)) q from tw) group by doc_id),
 b as (
-  select w.doc_id, stratum, len(ws)::bigint n_words, length(regexp_replace(t, '[{SPACE}]+', '', 'g'))::bigint word_chars,
+  select w.doc_id, stratum, th, len(ws)::bigint n_words, length(regexp_replace(t, '[{SPACE}]+', '', 'g'))::bigint word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines,
     coalesce(rep.n, 0)::bigint n_repeat_words, len(ls)::bigint n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) n_caps
   from w left join rep using (doc_id)
@@ -125,7 +125,10 @@ b as (
     case when n_lines > 0 then n_dup_lines / n_lines::double else 0 end dup_line_ratio, case when n_words > 0 then n_repeat_words / n_words::double else 0 end repeat_ratio,
     n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed
   from b
-), good as (select m.* from m semi join (select doc_id from labels group by doc_id having min(quality) = 1) l using (doc_id)),
+), good as (
+  select stratum, th, {", ".join(f"max({x}) as {x}" for x in CUTOFFS)}
+  from m semi join (select doc_id from labels group by doc_id having min(quality) = 1) l using (doc_id) group by stratum, th
+),
 tests as ({_TESTS}),
 pv as (
   select *, case when r < n * {_RATE!r} then

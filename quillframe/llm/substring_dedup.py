@@ -9,6 +9,9 @@ Each removed unit is reported with its original character offsets.
 A digest's rows are pre-aggregated to its first occurrence before they shuffle; the join that marks
 the others is an inner join against one row a digest, whose large partitions Spark may split.
 
+What it does not find: a passage inside longer units that differ elsewhere (op4 finds those), and units of fewer than
+`least_words` words, which are headings and list items as a rule.
+
 Null and empty texts have no unit. A null doc_id ranks first. Documents that repeat a doc_id are told
 apart by the hash of their text; equal rows are one document. Other columns of the input are not used.
 """
@@ -22,8 +25,8 @@ from .common import SPACE, ascii_lower, broadcast_if, durable, let, split_words
 from .lines import digest
 
 LEAST_WORDS = 8
-#: Most removed units (of some 30 bytes) that are broadcast instead of shuffling texts to them.
-MAX_BROADCAST = 1_000_000
+#: Most bytes of removed units that are broadcast instead of shuffling texts to them.
+MAX_BROADCAST_BYTES = 48 << 20
 #: Separators of units. A paragraph ends at a line of white space.
 SPLIT = {"line": "\n", "paragraph": "\n[\\x20\\x09\\x0B-\\x0D]*\n"}
 
@@ -49,18 +52,19 @@ def repeated_units(docs: DataFrame, unit: str = "line", least_words: int = LEAST
 
 
 def remove_repeated(docs: DataFrame, unit: str = "line", least_words: int = LEAST_WORDS, rank: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: doc_id, n_units, n_removed, kept_text and removed: array of (pos, start, length, keeper).
+    """A row per document: doc_id, n_units, n_removed, n_removed_words, n_removed_chars, kept_text and removed: array of (pos, start, length, keeper).
 
     Offsets are code points of the original text. Kept units are joined by the unit's separator.
     """
-    removed = durable(repeated_units(docs, unit, least_words, rank), "removed-units")
-    n_removed = removed.count()
-    gone = removed.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "keeper"))).alias("__gone"))
+    removed = repeated_units(docs, unit, least_words, rank)
+    gone = removed.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "n_words", "keeper"))).alias("__gone"))
+    gone = durable(gone, "removed-units")
+    size = gone.agg(F.coalesce(F.sum(48 + 32 * F.size("__gone")), F.lit(0))).first()[0]
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "__gone")
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    joined = base.join(broadcast_if(gone, n_removed, MAX_BROADCAST), base["doc_id"].eqNullSafe(gone["__id"]) & (base["version"] == gone["__version"]), "left")
+    joined = base.join(broadcast_if(gone, size, MAX_BROADCAST_BYTES), base["doc_id"].eqNullSafe(gone["__id"]) & (base["version"] == gone["__version"]), "left")
     keeper = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {keeper}, n_units bigint, n_removed bigint, kept_text string, removed array<struct<pos:int,start:int,length:int,keeper:{keeper}>>"
+    schema = f"doc_id {keeper}, n_units bigint, n_removed bigint, n_removed_words bigint, n_removed_chars bigint, kept_text string, removed array<struct<pos:int,start:int,length:int,keeper:{keeper}>>"
 
     def rewrite(batches):
         import re
@@ -70,18 +74,21 @@ def remove_repeated(docs: DataFrame, unit: str = "line", least_words: int = LEAS
         blank = re.compile("\n[\x20\x09\x0b-\x0d]*\n")
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("keeper", pa_keeper)]))
         for batch in batches:
-            ids, out = batch.column("doc_id"), {"n_units": [], "n_removed": [], "kept_text": [], "removed": []}
+            ids, out = batch.column("doc_id"), {"n_units": [], "n_removed": [], "n_removed_words": [], "n_removed_chars": [], "kept_text": [], "removed": []}
             for text, drop in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
                 text = text or ""
                 cuts = [(m.start(), m.end()) for m in (blank.finditer(text) if unit == "paragraph" else re.finditer("\n", text))]
                 starts, ends = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)]
+                out["n_removed_words"].append(sum(d["n_words"] for d in drop or ()))
                 drop = {d["pos"]: d["keeper"] for d in drop or ()}
+                out["n_removed_chars"].append(sum(ends[p] - starts[p] for p in drop))
                 kept = [text[a:b] for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if k not in drop]
                 out["n_units"].append(len(starts))
                 out["n_removed"].append(len(drop))
                 out["kept_text"].append(("\n\n" if unit == "paragraph" else "\n").join(kept))
                 out["removed"].append([{"pos": p, "start": starts[p], "length": ends[p] - starts[p], "keeper": k} for p, k in sorted(drop.items())])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(out["n_units"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_text"], pa.string()), pa.array(out["removed"], kind)], names=["doc_id", "n_units", "n_removed", "kept_text", "removed"])
+            kinds = {"kept_text": pa.string(), "removed": kind}
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["doc_id", *out])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
