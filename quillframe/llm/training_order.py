@@ -8,8 +8,8 @@ Slots are dealt by range to shards of `per_shard` records. A shard is a file of
 records in slot order: record r of shard s is slot s x per_shard + r, at byte r x stride. A run can
 stop and go on at any slot by a seek.
 
-The input is tokenised twice, to count sequences and to write them; that saves a copy of all ids on disk. It must
-therefore give the same partitions twice, as a scan of files does; a partition whose count differs
+The input is tokenised twice, to count sequences and to write them; that saves a copy of all ids on disk. Texts are
+tokenised in slices, each distinct chunk of a slice once. The input must the same partitions twice, as a scan of files does; a partition whose count differs
 fails the job. Shard files are written under a name of their own by each attempt and renamed when
 whole, so that retried and speculative tasks do no harm. Only counts a partition reach the driver.
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 import json
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,60 +31,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, new_path
+from .shingles import runs_of, sliced
 
-SEQ_LEN, PER_SHARD, ROUNDS = 1024, 16_384, 6
+SEQ_LEN, PER_SHARD, ROUNDS, SLICE_BYTES = 1024, 16_384, 6, 4 << 20
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 800_000
+MEMO = 400_000
 
-
-class _Memo(dict):
-    """Chunk -> ids, as bytes, of the chunk after a space; forgets everything when it holds MEMO chunks."""
-
-    def __init__(self, coder, dtype):
-        self.coder, self.code = coder, np.dtype(dtype).char
-
-    def __missing__(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise ValueError("white space beside a space")
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[chunk] = array(self.code, self.coder.encode_ordinary(" " + chunk)).tobytes()
-        return out
+_BLANK = np.zeros(256, bool)
+_BLANK[0x20] = True
+_ONE, _TWO = np.random.default_rng(11).integers(1, 2**64, (2, 256), np.uint64)
 
 
 class Tokenizer:
-    """A byte-level BPE vocabulary of tiktoken ranks; ids of recent chunks are kept.
+    """A byte-level BPE vocabulary of tiktoken ranks that encodes many texts at once and keeps the ids of recent chunks.
 
     PATTERN never joins what a single space between two other characters parts: the space goes to what
-    follows. So a text is cut at such spaces and chunks are encoded on their own. Texts in which white space stands
-    beside a space, or at an end next to one, are encoded whole.
+    follows. So a text is cut at such spaces, and each distinct chunk of a slice is encoded once. Chunks are told apart by
+    two 64-bit hashes within a slice and by their bytes between slices; where the first hash is equal and the
+    second is not, the text is encoded whole. So are texts in which white space stands beside a space or at an end next to one.
     """
 
-    def __init__(self, path: str = RANKS):
+    def __init__(self, ranks: bytes):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.dtype = np.uint16 if self.end < 1 << 16 else np.uint32
-        self.memo = _Memo(self.coder, self.dtype)
-
-    def whole(self, text: str) -> bytes:
-        return array(self.memo.code, self.coder.encode_ordinary(text)).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as bytes."""
-        chunks = text.split(" ")
-        first = chunks[0]
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        try:
-            return self.whole(first) + b"".join(map(self.memo.__getitem__, chunks[1:]))
-        except ValueError:
-            return self.whole(text)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Entry 0 is the end of a text; `size` is -1 for chunks that must not be encoded on their own.
+        self.known: dict[bytes, int] = {}
+        self.ids, self.start, self.size = np.array([self.end], self.dtype), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Entries of chunks; one that starts a text is given with a leading zero byte, others with a space."""
+        if len(self.known) > MEMO:
+            self._forget()
+        new = [c for c in chunks if c not in self.known]
+        coded, size = [], []
+        for c in new:
+            text = c[1:].decode()
+            opens, closes = c[0] == 0x20 and text[0].isspace(), text[-1].isspace()
+            ids = [] if opens or closes else self.coder.encode_ordinary(text if c[0] == 0 else c.decode())
+            size.append(-1 if opens or closes else len(ids))
+            coded.extend(ids)
+            self.known[c] = len(self.known) + 1
+        size = np.array(size, np.int64)
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)]
+        self.ids, self.size = np.r_[self.ids, np.array(coded, self.dtype)], np.r_[self.size, size]
+        return np.array([self.known[c] for c in chunks], np.int64)
+
+    def pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size, entries, piece offsets): text k is the entries from offset k to k + 1, the last one its end; empty texts have none."""
+        hashes, start, stop = runs_of(data, ends, _BLANK, _ONE)
+        other = runs_of(data, ends, _BLANK, _TWO)[0]
+        n, text = len(ends) - 1, np.searchsorted(ends, start, "right") - 1
+        opening = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
+        keys = np.where(opening, ~hashes, hashes)
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        view = data.tobytes()
+        lead = np.where(opening[first], 0, 0x20).tolist()
+        entry = self._learn([bytes([c]) + view[a:b] for c, a, b in zip(lead, start[first].tolist(), stop[first].tolist(), strict=True)])[inverse]
+        count, full = np.bincount(text, minlength=n), np.diff(ends) > 0
+        # Blanks at an end or in a row, odd chunks and chunks with equal first hashes.
+        whole = full & (count - 1 != np.diff(np.r_[0, np.cumsum(_BLANK[data])][ends]))
+        whole[text[(self.size[entry] < 0) | (other != other[first][inverse])]] = True
+        slow = np.flatnonzero(whole)
+        apart = [np.array(self.coder.encode_ordinary(view[ends[k] : ends[k + 1]].decode()), self.dtype) for k in slow]
+        sizes = np.array([len(x) for x in apart], np.int64)
+        pieces = np.where(full, np.where(whole, 1, count) + 1, 0)
+        offsets = np.r_[0, np.cumsum(pieces)]
+        entries = np.zeros(offsets[-1], np.int64)
+        use = ~whole[text]
+        rank = np.arange(len(text)) - np.r_[0, np.cumsum(count)[:-1]][text]
+        entries[offsets[text[use]] + rank[use]] = entry[use]
+        entries[offsets[slow]] = len(self.size) + np.arange(len(slow))
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        return np.concatenate([self.ids, *apart]), np.r_[self.start, begin], np.r_[self.size, sizes], entries, offsets
+
+    def count(self, data: np.ndarray, ends: np.ndarray) -> int:
+        """Ids of all texts, with their ends."""
+        _, _, size, entries, _ = self.pieces(data, ends)
+        return int(size[entries].sum())
+
+    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by its end, and the n + 1 offsets."""
+        ids, start, size, entries, offsets = self.pieces(data, ends)
+        each = size[entries]
+        stop = np.cumsum(each)
+        at = np.repeat(start[entries] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)
+        return ids[at], np.r_[0, stop][offsets]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,27 +163,28 @@ class Permutation:
         return self._walk(slot, True)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], coder: Tokenizer, size: int) -> Iterator[tuple[bytes, int, list]]:
-    """(ids, number of real ids, doc_ids that start in it) of a partition's stream; size: bytes of a sequence."""
-    end, width = np.array([coder.end], coder.dtype).tobytes(), np.dtype(coder.dtype).itemsize
-    held, starts = bytearray(), []
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-            if not (text := text.as_py()):
-                continue
-            starts.append((len(held), doc_id.as_py()))
-            held += coder.encode(text) + end
-            at = 0
-            while len(held) - at >= size:
-                mine = [d for o, d in starts if o < at + size]
-                starts = [(o, d) for o, d in starts if o >= at + size]
-                yield bytes(held[at : at + size]), size // width, mine
-                at += size
-            if at:
-                del held[:at]
-                starts = [(o - at, d) for o, d in starts]
-    if held:
-        yield bytes(held) + end * ((size - len(held)) // width), len(held) // width, [d for _, d in starts]
+def _sequences(batches: Iterator[pa.RecordBatch], coder: Tokenizer, seq_len: int) -> Iterator[tuple[np.ndarray, int, pa.Array]]:
+    """(ids as rows of seq_len, real ids of the last row, doc_ids that start in each) of a partition's stream."""
+    held, docs, at = np.zeros(0, coder.dtype), None, np.zeros(0, np.int64)
+
+    def rows(ids: np.ndarray, names: pa.Array, where: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(0, len(ids) + 1, seq_len)), pa.int32()), names)
+
+    for keys, data, ends in sliced(batches, SLICE_BYTES, 1 << 20):
+        ids, offsets = coder.encode(data, ends)
+        some = np.flatnonzero(np.diff(offsets))
+        keys = keys.take(pa.array(some))
+        docs = keys if docs is None else pa.concat_arrays([docs, keys])
+        at = np.r_[at, len(held) + offsets[some]]
+        held = np.r_[held, ids]
+        full = len(held) // seq_len * seq_len
+        if full:
+            mine = int(np.searchsorted(at, full))
+            yield held[:full].reshape(-1, seq_len), seq_len, rows(held[:full], docs.slice(0, mine), at[:mine])
+            held, docs, at = held[full:], docs.slice(mine), at[mine:] - full
+    if len(held):
+        last = np.r_[held, np.full(seq_len - len(held), coder.end, coder.dtype)]
+        yield last.reshape(1, -1), len(held), rows(last, docs, at)
 
 
 def materialise(docs: DataFrame, out_dir: str, key: int = 2024, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, ranks: str = RANKS) -> DataFrame:
@@ -152,19 +192,23 @@ def materialise(docs: DataFrame, out_dir: str, key: int = 2024, seq_len: int = S
 
     A row per sequence: seq, slot, shard, record, n_tokens, doc_ids (those that start in it) and sha256 of the record.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select("doc_id", "text")
-    coder = Tokenizer(ranks)
-    size = seq_len * np.dtype(coder.dtype).itemsize
+    # Executors need not have the file: the vocabulary, some megabytes of fixed size, is sent to them.
+    where, root = fs.FileSystem.from_uri(ranks if "://" in ranks else f"file://{ranks}")
+    with where.open_input_stream(root) as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+    coder = Tokenizer(vocabulary.value)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, mine = 0, Tokenizer(ranks)
-        width = np.dtype(mine.dtype).itemsize
-        for batch in batches:
-            total += sum(len(mine.encode(t)) + width for t in batch.column("text").to_pylist() if t)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([-(-total // size)], pa.int64())})
+        mine = Tokenizer(vocabulary.value)
+        total = sum(mine.count(data, ends) for _, data, ends in sliced(batches, SLICE_BYTES, 1 << 20))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([-(-total // seq_len)], pa.int64())})
 
     counts = dict(map(tuple, rows.mapInArrow(count, "part bigint, n bigint").collect()))
     first, n = {}, 0
@@ -174,24 +218,20 @@ def materialise(docs: DataFrame, out_dir: str, key: int = 2024, seq_len: int = S
     order = Permutation(max(1, n), key)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import batched
-
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
-        for some in batched(_sequences(batches, Tokenizer(ranks), size), 512):
-            seq = np.arange(len(some)) + first.get(part, 0) + done
-            done += len(some)
+        for ids, real, mine in _sequences(batches, Tokenizer(vocabulary.value), seq_len):
+            seq = np.arange(len(ids)) + first.get(part, 0) + done
+            done += len(ids)
             if done > counts.get(part, 0):
                 raise RuntimeError(f"partition {part} changed between two reads")
-            ids, real, mine = zip(*some, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(order.slots(seq)), pa.array(real, pa.int32()), pa.array(list(mine), pa.list_(id_type)), pa.array(ids, pa.binary())], names=["seq", "slot", "n_tokens", "doc_ids", "ids"])
+            width = ids.itemsize * seq_len
+            data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, width * len(ids) + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+            yield pa.RecordBatch.from_arrays([pa.array(seq), pa.array(order.slots(seq)), pa.array(np.full(len(ids), real, np.int32)), mine.cast(pa.list_(id_type)), data], names=["seq", "slot", "n_tokens", "doc_ids", "ids"])
         if done != counts.get(part, 0):
             raise RuntimeError(f"partition {part} changed between two reads")
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     shards = max(1, -(-n // per_shard))
     placed = rows.mapInArrow(place, f"seq bigint, slot bigint, n_tokens int, doc_ids array<{kind}>, ids binary")
     dealt = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))

@@ -388,17 +388,27 @@ def test_training_order_round_trip(corpus, tmp_path):
     assert all(hashlib.sha256(ids[r.slot].tobytes()).hexdigest() == r.sha256 for r in made)
     assert (training_order.read_slots(out, 7, 9) == ids[7:16]).all()
     stream = np.concatenate([ids[r.slot][: r.n_tokens] for r in sorted(made, key=lambda r: r.seq)])
-    coder = training_order.Tokenizer()
+    coder = training_order.Tokenizer(open(training_order.RANKS, "rb").read())
     ends = np.flatnonzero(stream == coder.end)
     docs = [coder.coder.decode(x[x != coder.end].tolist()) for x in np.split(stream, ends)]
     assert sorted(d for d in docs if d) == sorted(t for _, t, *_ in rows if t)
     assert training_order.materialise(empty(df), f"file://{tmp_path}/none").count() == 0
 
 
-@pytest.mark.parametrize("text", ["It's  a test,  isn't it? 12,5 % of_x\n\n  end ", "Élan à côté: ½ ² x̂ 日本 ok", "\x1c odd\xa0space × ÷"])
-def test_fast_tokenizer_equals_the_slow_one(text):
-    t = training_order.Tokenizer()
-    assert np.frombuffer(t.encode(text), t.dtype).tolist() == t.coder.encode_ordinary(text)
+ODD = ["It's  a test,  isn't it? 12,5 % of_x\n\n  end ", "Élan à côté: ½ ² x̂ 日本 ok", "\x1c odd\xa0space × ÷", "", " lead", "trail ", "a\n b", "a \nb", "one two\nthree four", " ", "\n", "x", "a\u2028 b c", "\x00 zero \x00", "twice twice twice"]
+
+
+def test_fast_tokenizer_equals_the_slow_one(monkeypatch):
+    t = training_order.Tokenizer(open(training_order.RANKS, "rb").read())
+    for memo in (10**6, 0):
+        monkeypatch.setattr(training_order, "MEMO", memo)
+        for texts_ in (ODD, ODD[::-1], ["the same"] * 3, [""], texts(4, 20)):
+            raw = [(x or "").encode() for x in texts_]
+            data, ends = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+            ids, offsets = t.encode(data, ends)
+            want = [[*t.coder.encode_ordinary(x or ""), t.end] if x else [] for x in texts_]
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+            assert t.count(data, ends) == sum(map(len, want))
 
 
 def brute_repeats(text):
