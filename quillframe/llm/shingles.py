@@ -53,35 +53,27 @@ def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int, k
             at = stop
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE, numbers: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, stop) of every run of bytes that are not `space`; runs end with their text. `numbers`: a random one a byte."""
+def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every word; words are runs of bytes other than ASCII white space, A-Z lower-cased."""
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = True
-    before, hashes, starts, stops = np.uint64(0), [], [], []
+    before, hashes, starts = np.uint64(0), [], []
     for at in range(0, len(data), STRETCH):
         part = data[at : at + STRETCH]
-        n, blank = len(part), space[part]
-        ahead = space[data[at + n]] if at + n < len(data) else True
-        behind = space[data[at - 1]] if at else True
+        n, blank = len(part), _SPACE[part]
+        ahead = _SPACE[data[at + n]] if at + n < len(data) else True
+        behind = _SPACE[data[at - 1]] if at else True
         start = np.flatnonzero(~blank & (np.r_[behind, blank[:-1]] | edge[at : at + n]))
         stop = np.flatnonzero(~blank & (np.r_[blank[1:], ahead] | edge[at + 1 : at + n + 1]))
         # Sums of the bytes' numbers times powers of their place in the whole data.
-        total = np.cumsum(numbers[part] * _UP[:n], dtype=np.uint64) * np.uint64(pow(_BASE, at, 2**64)) + before
+        total = np.cumsum(_BYTES[part] * _UP[:n], dtype=np.uint64) * np.uint64(pow(_BASE, at, 2**64)) + before
         hashes.append((np.where(start > 0, total[start - 1], before), _DOWN[start] * np.uint64(pow(_INVERSE, at, 2**64)), total[stop]))
         starts.append(start + at)
-        stops.append(stop + at + 1)
         before = total[-1]
     if not starts:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first, down, last = (np.concatenate([x[k] for x in hashes]) for k in range(3))
-    return mix((last - first) * down), np.concatenate(starts), np.concatenate(stops)
-
-
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word; words are runs of bytes other than ASCII white space, A-Z lower-cased."""
-    hashes, start, _ = runs_of(data, ends)
-    return hashes, np.searchsorted(ends, start, "right") - 1
+    return mix((last - first) * down), np.searchsorted(ends, np.concatenate(starts), "right") - 1
 
 
 def token_sets(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:

@@ -9,7 +9,7 @@ records in slot order: record r of shard s is slot s x per_shard + r, at byte r
 stop and go on at any slot by a seek.
 
 The input is tokenised twice, to count sequences and to write them; that saves a copy of all ids on disk. Texts are
-tokenised in slices, each distinct chunk of a slice once. The input must the same partitions twice, as a scan of files does; a partition whose count differs
+tokenised in slices, each chunk that is not known from before once. The input must the same partitions twice, as a scan of files does; a partition whose count differs
 fails the job. Shard files are written under a name of their own by each attempt and renamed when
 whole, so that retried and speculative tasks do no harm. Only counts a partition reach the driver.
 
@@ -31,100 +31,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, new_path
-from .shingles import runs_of, sliced
+from .shingles import sliced
 
 SEQ_LEN, PER_SHARD, ROUNDS, SLICE_BYTES = 1024, 16_384, 6, 4 << 20
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are cut before merging (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
-
-_BLANK = np.zeros(256, bool)
-_BLANK[0x20] = True
-_ONE, _TWO = np.random.default_rng(11).integers(1, 2**64, (2, 256), np.uint64)
-
+#: Chunks that are kept at most, but for those of one slice.
+MEMO = 800_000
 
 class Tokenizer:
-    """A byte-level BPE vocabulary of tiktoken ranks that encodes many texts at once and keeps the ids of recent chunks.
+    """A byte-level BPE vocabulary of tiktoken ranks; ids (or, for counting, numbers of ids) of recent chunks are kept.
 
     PATTERN never joins what a single space between two other characters parts: the space goes to what
-    follows. So a text is cut at such spaces, and each distinct chunk of a slice is encoded once. Chunks are told apart by
-    two 64-bit hashes within a slice and by their bytes between slices; where the first hash is equal and the
-    second is not, the text is encoded whole. So are texts in which white space stands beside a space or at an end next to one.
+    follows. So a text is cut at such spaces and chunks are encoded on their own; those of a slice of texts that are not
+    known yet are encoded in one call, joined by spaces, and told apart by the ids that begin with one. Texts in which
+    white space stands beside a space, or at an end next to one, are encoded whole.
     """
 
-    def __init__(self, ranks: bytes):
+    def __init__(self, ranks: bytes, counts: bool = False):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.dtype = np.uint16 if self.end < 1 << 16 else np.uint32
-        self._forget()
-
-    def _forget(self) -> None:
-        # Entry 0 is the end of a text; `size` is -1 for chunks that must not be encoded on their own.
-        self.known: dict[bytes, int] = {}
-        self.ids, self.start, self.size = np.array([self.end], self.dtype), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _learn(self, chunks: list[bytes]) -> np.ndarray:
-        """Entries of chunks; one that starts a text is given with a leading zero byte, others with a space."""
-        if len(self.known) > MEMO:
-            self._forget()
-        new = [c for c in chunks if c not in self.known]
-        coded, size = [], []
-        for c in new:
-            text = c[1:].decode()
-            opens, closes = c[0] == 0x20 and text[0].isspace(), text[-1].isspace()
-            ids = [] if opens or closes else self.coder.encode_ordinary(text if c[0] == 0 else c.decode())
-            size.append(-1 if opens or closes else len(ids))
-            coded.extend(ids)
-            self.known[c] = len(self.known) + 1
-        size = np.array(size, np.int64)
-        self.start = np.r_[self.start, len(self.ids) + np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)]
-        self.ids, self.size = np.r_[self.ids, np.array(coded, self.dtype)], np.r_[self.size, size]
-        return np.array([self.known[c] for c in chunks], np.int64)
-
-    def pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, size, entries, piece offsets): text k is the entries from offset k to k + 1, the last one its end; empty texts have none."""
-        hashes, start, stop = runs_of(data, ends, _BLANK, _ONE)
-        other = runs_of(data, ends, _BLANK, _TWO)[0]
-        n, text = len(ends) - 1, np.searchsorted(ends, start, "right") - 1
-        opening = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
-        keys = np.where(opening, ~hashes, hashes)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        view = data.tobytes()
-        lead = np.where(opening[first], 0, 0x20).tolist()
-        entry = self._learn([bytes([c]) + view[a:b] for c, a, b in zip(lead, start[first].tolist(), stop[first].tolist(), strict=True)])[inverse]
-        count, full = np.bincount(text, minlength=n), np.diff(ends) > 0
-        # Blanks at an end or in a row, odd chunks and chunks with equal first hashes.
-        whole = full & (count - 1 != np.diff(np.r_[0, np.cumsum(_BLANK[data])][ends]))
-        whole[text[(self.size[entry] < 0) | (other != other[first][inverse])]] = True
-        slow = np.flatnonzero(whole)
-        apart = [np.array(self.coder.encode_ordinary(view[ends[k] : ends[k + 1]].decode()), self.dtype) for k in slow]
-        sizes = np.array([len(x) for x in apart], np.int64)
-        pieces = np.where(full, np.where(whole, 1, count) + 1, 0)
-        offsets = np.r_[0, np.cumsum(pieces)]
-        entries = np.zeros(offsets[-1], np.int64)
-        use = ~whole[text]
-        rank = np.arange(len(text)) - np.r_[0, np.cumsum(count)[:-1]][text]
-        entries[offsets[text[use]] + rank[use]] = entry[use]
-        entries[offsets[slow]] = len(self.size) + np.arange(len(slow))
-        begin = len(self.ids) + np.cumsum(sizes) - sizes
-        return np.concatenate([self.ids, *apart]), np.r_[self.start, begin], np.r_[self.size, sizes], entries, offsets
-
-    def count(self, data: np.ndarray, ends: np.ndarray) -> int:
-        """Ids of all texts, with their ends."""
-        _, _, size, entries, _ = self.pieces(data, ends)
-        return int(size[entries].sum())
-
-    def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by its end, and the n + 1 offsets."""
-        ids, start, size, entries, offsets = self.pieces(data, ends)
-        each = size[entries]
-        stop = np.cumsum(each)
-        at = np.repeat(start[entries] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)
-        return ids[at], np.r_[0, stop][offsets]
+        self.opens = np.zeros(self.end, bool)
+        self.opens[[i for x, i in ranks.items() if x[:1] == b" "]] = True
+        self.counts, self.memo = counts, {}
+
+    def _whole(self, text: str) -> bytes | int:
+        ids = self.coder.encode_to_numpy(text)
+        return len(ids) if self.counts else ids.astype(self.dtype).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = [c for c in chunks.difference(self.memo) if c and not c[0].isspace() and not c[-1].isspace()]
+        if not new:
+            return
+        ids = self.coder.encode_to_numpy(" " + " ".join(new))
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(new):
+            raise RuntimeError("the vocabulary joins what single spaces part")
+        stop = np.r_[begin[1:], len(ids)]
+        if self.counts:
+            self.memo.update(zip(new, (stop - begin).tolist(), strict=True))
+        else:
+            data, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            self.memo.update(zip(new, [data[a:b] for a, b in zip((begin * width).tolist(), (stop * width).tolist(), strict=True)], strict=True))
+
+    def _texts(self, texts: list[str]) -> Iterator[bytes | int]:
+        """The ids of each text, or their number; without its end."""
+        cut = [t.split(" ") for t in texts]
+        every: set[str] = set()
+        for chunks in cut:
+            every.update(chunks[1:])
+        self._learn(every)
+        add = sum if self.counts else b"".join
+        for text, (first, *rest) in zip(texts, cut, strict=True):
+            if text and (not first or first[-1].isspace()):
+                yield self._whole(text)
+                continue
+            try:
+                # Chunks that must not stand alone were not learned.
+                yield self._whole(first) + add(map(self.memo.__getitem__, rest))
+            except KeyError:
+                yield self._whole(text)
+
+    def count(self, texts: list[str]) -> int:
+        """Ids of all texts, with an end for each that is not empty."""
+        return sum(self._texts(texts)) + sum(1 for t in texts if t)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each that is not empty followed by its end, and the n + 1 offsets."""
+        end = np.array([self.end], self.dtype).tobytes()
+        parts = [x + end if t else b"" for x, t in zip(self._texts(texts), texts, strict=True)]
+        return np.frombuffer(b"".join(parts), self.dtype), np.r_[0, np.cumsum([len(x) for x in parts])] // np.dtype(self.dtype).itemsize
+
+
+_HELD: dict[tuple[int, bool], Tokenizer] = {}
+
+
+def _tokenizer(ranks: bytes, counts: bool = False) -> Tokenizer:
+    """The worker's tokenizer: what one task has learned serves the next."""
+    key = (hash(ranks), counts)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Tokenizer(ranks, counts)
+    return _HELD[key]
+
+
+def _strings(data: np.ndarray, ends: np.ndarray) -> list[str]:
+    view = data.tobytes()
+    return [view[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -171,7 +171,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], coder: Tokenizer, seq_len: int
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(where, np.arange(0, len(ids) + 1, seq_len)), pa.int32()), names)
 
     for keys, data, ends in sliced(batches, SLICE_BYTES, 1 << 20):
-        ids, offsets = coder.encode(data, ends)
+        ids, offsets = coder.encode(_strings(data, ends))
         some = np.flatnonzero(np.diff(offsets))
         keys = keys.take(pa.array(some))
         docs = keys if docs is None else pa.concat_arrays([docs, keys])
@@ -206,8 +206,8 @@ def materialise(docs: DataFrame, out_dir: str, key: int = 2024, seq_len: int = S
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        mine = Tokenizer(vocabulary.value)
-        total = sum(mine.count(data, ends) for _, data, ends in sliced(batches, SLICE_BYTES, 1 << 20))
+        mine = _tokenizer(vocabulary.value, counts=True)
+        total = sum(mine.count(_strings(data, ends)) for _, data, ends in sliced(batches, SLICE_BYTES, 1 << 20))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([-(-total // seq_len)], pa.int64())})
 
     counts = dict(map(tuple, rows.mapInArrow(count, "part bigint, n bigint").collect()))
@@ -221,7 +221,7 @@ def materialise(docs: DataFrame, out_dir: str, key: int = 2024, seq_len: int = S
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
-        for ids, real, mine in _sequences(batches, Tokenizer(vocabulary.value), seq_len):
+        for ids, real, mine in _sequences(batches, _tokenizer(vocabulary.value), seq_len):
             seq = np.arange(len(ids)) + first.get(part, 0) + done
             done += len(ids)
             if done > counts.get(part, 0):

@@ -30,7 +30,7 @@ def test_pipeline(spark, tmp_path):
         for x in t.split("\n"):
             holders[key(x)].add(i)
     left = [(i, "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or min(holders[key(x)]) == i), *rest) for i, t, *rest in left]
-    comps = brute_components(left)
+    comps = brute_components(left, 5, 80)
     left = [r for r in left if comps[r[0]][1] == r[0]]
     bad = brute_contamination(left, items)
     left = [r for r in left if not bad[r[0]][4]]
@@ -87,3 +87,19 @@ def test_predicted_language_is_written(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert got == {i: x for i, _, x, *_ in rows[:60]} | {100: "fr"}
+
+
+def test_near_duplicates_among_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, long + " x", "en", "s", 1), (None, "alone", "en", "s", 1), (1, long, "en", "s", 1), (1, long, "de", "s", 1), (1, "other words", "en", "s", 1), (2, long.upper(), "en", "s", 1), (3, None, "en", "s", 1), (4, "", "en", "s", 1), (5, "other words", None, "s", 1), (6, "new", "fr", "s", 1), (6, "new", "fr", "s", 1)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, n_shingles string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted((r.doc_id or 0, r.text or "", r.lang) for r in got.collect()) == [(0, "alone", "en"), (0, long + " x", "en"), (1, "other words", "en"), (3, "", "en"), (4, "", "en"), (6, "new", "fr")]
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, f"file://{tmp_path}").count() == 0
