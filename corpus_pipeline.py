@@ -1,8 +1,8 @@
 """From documents to packed training bins: language, lines, near-duplicates, benchmark passages, bins.
 
 Every stage works on all documents that its predecessor kept. All but the last return the columns of
-`documents`; a stage that changes texts sets n_chars anew. Rows that repeat a doc_id count as one
-document for the near-duplicate stage, which keeps one of them.
+`documents`; a stage that changes texts sets n_chars anew. For the near-duplicate stage, rows that repeat a doc_id with
+another text are documents of their own; equal documents count once, whatever their number.
 """
 
 from __future__ import annotations
@@ -32,15 +32,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by word shingles, the smallest doc_id stays."""
+    """Of each group of documents linked by word shingles, the one with the smallest doc_id (then hash of its text) stays.
+
+    Rows with equal doc_id and text are one document; of their other columns, the smallest stay. A null doc_id ranks first.
+    """
     docs = docs.select(*COLUMNS)
-    found = durable(jaccard_join.similar_documents(docs, words=WORDS, percent=PERCENT), "pipeline-components")
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti")
-    named = found.where("doc_id is not null")
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    name = F.struct("doc_id", F.xxhash64("text").alias("version"))
+    found = jaccard_join.similar_documents(docs.select(name.alias("doc_id"), "text"), words=WORDS, percent=PERCENT)
+    found = durable(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")), "pipeline-components")
+    keyed = docs.withColumn("__name", name)
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__name"))
+    kept = keyed.join(later, "__name", "left_anti")
+    repeated = durable(found.where("n > 1").select(F.col("doc_id").alias("__name")), "pipeline-repeated")
+    if repeated.limit(1).count():
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        once = kept.join(repeated, "__name", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest"))
+        kept = kept.join(repeated, "__name", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "text", "__rest.*"))
     return kept.select(*COLUMNS)
 
 
