@@ -61,7 +61,7 @@ def _requests(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             one, mark = token[first], np.where(count > 1, _MANY, ref[first]).astype(np.uint16)
             bucket = ((one >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             to, start = np.unique(bucket, return_index=True)
-            stop = np.r_[start[1:], len(one)]
+            stop = np.r_[start[1:], len(one)][: len(to)]
             low = one.astype(np.uint32)
             n = len(to)
             yield pa.RecordBatch.from_arrays(
@@ -123,11 +123,12 @@ def _gathered(percent: int, kind: pa.DataType):
 def judged_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, node, stays) of every row: the set's size and name, and whether it may have a partner."""
     from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-    kind = docs.schema["doc_id"].dataType
+    name = docs.schema["doc_id"].dataType.simpleString()
+    kind = StructType.fromDDL(f"doc_id {name}")["doc_id"].dataType  # as Spark reads the name again, with nulls anywhere
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    name = kind.simpleString()
     answers = _requests(docs, words, buckets).groupBy("bucket").applyInArrow(_answer, f"slice bigint, a binary, b binary, ids array<{name}>, sizes binary, names binary")
     return answers.groupBy("slice").applyInArrow(_gathered(percent, to_arrow_type(kind)), f"doc_id {name}, n_shingles bigint, node binary, stays boolean")
 

@@ -269,6 +269,8 @@ def test_jaccard_join(spark, corpus, words, percent, close, room, turns):
     assert got == want
     assert 1 < len({c for i, (_, c) in got.items() if i >= 1000}) < 30
     assert jaccard_join.similar_documents(empty(df)).count() == 0
+    blank = spark.createDataFrame([(1, ""), (2, None), (3, " \n")], "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard_join.similar_documents(blank).collect())) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
 def test_jaccard_join_of_long_and_repeated_texts(spark, monkeypatch):
