@@ -20,13 +20,21 @@ def stand_in(batch: np.ndarray) -> np.ndarray:
 
 
 def segment_scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]] = lambda: stand_in, name: str = "stand-in") -> Callable[[Column], Column]:
-    """A column function from equal-length segments to scores; `load` runs once a worker."""
+    """A column function from segments to scores; `load` runs once a worker.
+
+    Segments of different lengths are scored length by length. A null or empty segment, or one with a null sample, has a null score.
+    """
 
     @F.arrow_udf("double")
     def score(xs: pa.Array) -> pa.Array:
         model = _LOADED.setdefault(name, None) or _LOADED.__setitem__(name, load()) or _LOADED[name]
-        flat = xs.flatten().to_numpy(zero_copy_only=False)
-        return pa.array(np.round(model(flat.reshape(len(xs), -1)), 9))
+        rows = [None if x is None or not len(x) or None in x else np.asarray(x, float) for x in xs.to_pylist()]
+        sizes = np.array([0 if r is None else len(r) for r in rows])
+        out = np.full(len(rows), np.nan)
+        for size in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == size)
+            out[at] = np.round(model(np.stack([rows[k] for k in at])), 9)
+        return pa.array(out, mask=sizes == 0)
 
     return score
 

@@ -44,8 +44,16 @@ def _tiles(df: DataFrame, key: str, vector: str, label: str | None, block: int,
     return rows.select("id", "v", "l", "own", F.col("own").alias("i"), F.col("other").alias("j"))
 
 
+def _whole(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows that can be compared: a key, and a vector without nulls."""
+    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(F.exists(vector, lambda x: x.isNull()), F.lit(True)))
+
+
 def _matrix(part: pa.Table) -> np.ndarray:
     v = part.column("v").combine_chunks()
+    sizes = np.diff(v.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
     return v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
 
 
@@ -53,7 +61,9 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, label:
     """(a, b, similarity), a < b, of unit vectors whose rounded inner product reaches the threshold.
 
     Exact: every pair of blocks is one task's matrix product; with `label`, pairs of equal labels do not count.
+    Rows with a null key, a null vector or a null in it have no pair; vectors of different lengths are an error.
     """
+    df = _whole(df, key, vector)
 
     def pairs(part: pa.Table) -> pa.Table:
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
@@ -72,7 +82,11 @@ def similar_pairs(df: DataFrame, key: str, vector: str, threshold: float, label:
 
 
 def nearest_neighbours(left: DataFrame, right: DataFrame, key: str, vector: str, block: int = BLOCK, digits: int = 6) -> DataFrame:
-    """(id, neighbour, similarity): the most similar row of `right` for each of `left`; ties to the smaller key, never the row itself."""
+    """(id, neighbour, similarity): the most similar row of `right` for each of `left`; ties to the smaller key, never the row itself.
+
+    Rows with a null key, a null vector or a null in it neither ask nor answer; vectors of different lengths are an error.
+    """
+    left, right = _whole(left, key, vector), _whole(right, key, vector)
     n_left, n_right = max(1, -(-left.count() // block)), max(1, -(-right.count() // block))
     tile = lambda n: F.pmod(F.xxhash64(F.lit("tile"), key), F.lit(n)).cast("int")
     cols = [F.col(key).cast("bigint").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")]

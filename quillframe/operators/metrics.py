@@ -132,11 +132,15 @@ def ks_statistic(df: DataFrame, keys: Sequence[str], side: Column, value: str, d
 
 
 def column_diff(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], digits: int = DIGITS) -> DataFrame:
-    """(column, n, mean_abs, max_abs, exact): how two versions of the same columns differ, row by row of `key`."""
-    pairs = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"l.{c}").cast("double").alias("a"), F.col(f"r.{c}").cast("double").alias("b")) for c in columns))
+    """(column, n, mean_abs, max_abs, exact): how two versions of the same columns differ, row by row of `key`.
+
+    n counts the rows that both have; a row that only one of them has makes no column exact.
+    """
+    pairs = left.withColumn("__l", F.lit(True)).alias("l").join(right.withColumn("__r", F.lit(True)).alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")), "full")
+    pairs = pairs.withColumn("__both", F.coalesce(F.col("l.__l") & F.col("r.__r"), F.lit(False)))
+    rows = F.array(*(F.struct(F.col("__both").alias("both"), F.lit(c).alias("column"), F.col(f"l.{c}").cast("double").alias("a"), F.col(f"r.{c}").cast("double").alias("b")) for c in columns))
     gap = F.abs(F.col("a") - F.col("b"))
-    return pairs.select(F.inline(rows)).groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(gap), digits).alias("mean_abs"), F.round(F.max(gap), digits).alias("max_abs"), F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("exact"))
+    return pairs.select(F.inline(rows)).groupBy("column").agg(F.count_if("both").alias("n"), F.round(F.avg(F.when(F.col("both"), gap)), digits).alias("mean_abs"), F.round(F.max(F.when(F.col("both"), gap)), digits).alias("max_abs"), F.bool_and(F.col("both") & F.col("a").eqNullSafe(F.col("b"))).alias("exact"))
 
 
 def frame_hash(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[str], block: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.plans import curation, evaluation, manifests, signals  # noqa: F401
+from quillframe.plans import contracts, curation, evaluation, manifests, signals  # noqa: F401
 from quillframe.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -90,14 +90,14 @@ def q33_one_to_one_join(spark, sf_dir):
 
 
 @query(
-    """with r as (select case when c_custkey % 2 = 0 then 'c' || c_custkey else 'c' || c_custkey || '.wav' end rid, c_acctbal score from customer), s as (select 'c' || c_custkey || '.wav' sid from customer where c_custkey % 7 < 4)
+    """with r as (select case when c_custkey % 2 = 0 then 'c' || c_custkey else 'c' || c_custkey || '.wav' end rid, c_acctbal score from customer), s as (select 'c' || c_custkey || '.wav' sid from customer)
 select s.sid, coalesce(a.score, b.score) score, a.rid is not null or b.rid is not null matched from s left join r a on a.rid = s.sid left join r b on a.rid is null and b.rid = regexp_replace(s.sid, '\\.[^.]*$', '')"""
 )
 def q34_exact_id_mapping(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("c"), F.col("c_custkey"))
     results = customers.select(F.when(F.col("c_custkey") % 2 == 0, name).otherwise(F.concat(name, F.lit(".wav"))).alias("rid"), F.col("c_acctbal").alias("score"))
-    sample = customers.where("c_custkey % 7 < 4").select(F.concat(name, F.lit(".wav")).alias("sid"))
+    sample = customers.select(F.concat(name, F.lit(".wav")).alias("sid"))
     return joins.by_id_or_stem(sample, results, "sid", "rid")
 
 
@@ -159,13 +159,15 @@ def q98_submission(spark, sf_dir):
 
 
 @query(
-    """with n as (select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') k from part), r as (select p_partkey % 50 rid, upper(p_name) t from part where p_partkey <= 60), u as (select regexp_replace(lower(t), '[^a-z0-9]', '', 'g') k, min(rid) rid from r group by 1 having count(*) = 1)
+    """with n as (select p_partkey, regexp_replace(lower(p_name || ' no. ' || p_partkey), '[^a-z0-9]', '', 'g') k from part), o as (select p_partkey rid, upper(p_name) || ' (No ' || p_partkey || ')' t from part), r as (select * from o union all select * from o where rid % 3 = 0), u as (select regexp_replace(lower(t), '[^a-z0-9]', '', 'g') k, min(rid) rid from r group by 1 having count(*) = 1)
 select p_partkey, rid from n join u using (k)"""
 )
 def q99_unique_title_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    right = part.where("p_partkey <= 60").select((F.col("p_partkey") % 50).alias("rid"), F.upper("p_name").alias("t"))
-    return joins.unique_key_join(part.select("p_partkey", "p_name"), right, manifest.normalised_title(F.col("p_name")), manifest.normalised_title(F.col("t"))).select("p_partkey", "rid")
+    titles = part.select(F.col("p_partkey").alias("rid"), F.concat(F.upper("p_name"), F.lit(" (No "), "p_partkey", F.lit(")")).alias("t"))
+    right = titles.unionByName(titles.where("rid % 3 = 0"))  # titles that two rows have match nothing
+    own = F.concat("p_name", F.lit(" no. "), "p_partkey")
+    return joins.unique_key_join(part.select("p_partkey", "p_name"), right, manifest.normalised_title(own), manifest.normalised_title(F.col("t"))).select("p_partkey", "rid")
 
 
 @query(

@@ -61,12 +61,12 @@ def q40_quality_errors(spark, sf_dir):
     return rows.select("vec_id", F.array_join(signal.quality_errors(F.col("s"), 0.7, -18.07), ",").alias("errors"), signal.silent(F.col("x")).alias("silent"))
 
 
-_PAIR = f"{_W}, p as (select a.vec_id, a.x v, b.x m from w a join w b on b.vec_id = a.vec_id + 1 where a.vec_id % 5 = 0), g as (select vec_id, v, list_transform(m, lambda z: z * sqrt(({_sql_power('v')} + 1e-9) / (2e0 * ({_sql_power('m')} + 1e-9)))) m from p)"
+_PAIR = f"{_W}, p as (select a.vec_id, a.x v, b.x m from w a join w b on b.vec_id = a.vec_id + 1), g as (select vec_id, v, list_transform(m, lambda z: z * sqrt(({_sql_power('v')} + 1e-9) / (2e0 * ({_sql_power('m')} + 1e-9)))) m from p)"
 
 
 def _pairs(spark, sf_dir):
     w = waves(spark, sf_dir)
-    left = w.where("vec_id % 5 = 0").select("vec_id", F.col("x").alias("v"))
+    left = w.select("vec_id", F.col("x").alias("v"))
     return left.join(w.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("m")), "vec_id")
 
 

@@ -252,3 +252,35 @@ def test_paired_batches(spark):
     df = spark.range(80).select(F.col("id").alias("k"), (F.col("id") % 8).alias("g"), (F.floor(F.col("id") / 8) % 2).cast("int").alias("y"), F.lit(1.0).alias("w"))
     sizes = {r.batch: r["count"] for r in sampling.paired_batches(df, "k", "g", "y", "w", 16, 3).groupBy("batch").count().collect()}
     assert sizes == {0: 16, 1: 16, 2: 16}
+
+
+def test_scorer_and_similarity_beside_nulls(spark):
+    from quillframe.functions.scoring import segment_scorer
+    from quillframe.operators import dedup
+
+    rows = [(1, [0.6, 0.8]), (2, None), (3, [0.8, 0.6]), (4, [1.0, None]), (5, [0.6, 0.8]), (None, [0.6, 0.8])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").coalesce(1)
+    scores = {r.id: r.s for r in df.select("id", segment_scorer()("v").alias("s")).collect()}
+    alone = spark.createDataFrame(rows[:1], df.schema).select(segment_scorer()("v").alias("s")).first().s
+    assert scores[1] == scores[5] == alone and scores[2] is None and scores[4] is None
+    assert sorted((r.a, r.b) for r in dedup.similar_pairs(df, "id", "v", 0.9).collect()) == [(1, 3), (1, 5), (3, 5)]
+    assert sorted((r.id, r.neighbour) for r in dedup.nearest_neighbours(df, df, "id", "v").collect()) == [(1, 5), (3, 1), (5, 1)]
+
+
+def test_column_diff_counts_rows_of_one_side(spark):
+    from quillframe.operators import metrics
+
+    a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double"), spark.createDataFrame([(1, 1.0)], "k int, x double")
+    assert [tuple(r) for r in metrics.column_diff(a, b, "k", ["x"]).collect()] == [("x", 1, 0.0, 0.0, False)]
+    assert metrics.column_diff(a, a, "k", ["x"]).first().exact
+
+
+def test_unknown_aggregations(spark):
+    import pytest
+
+    from quillframe.functions import aggregators
+    from pyspark.sql import functions as F
+
+    for name in ("max_mean_1.5", "max_mean_", "sum"):
+        with pytest.raises(ValueError):
+            aggregators.aggregator(name, F.array(F.lit(1.0)))
