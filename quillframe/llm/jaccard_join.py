@@ -157,9 +157,10 @@ def _least_overlap(n: Column, percent: int) -> Column:
 
 def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
     """(node, n, p0, p1, ...): the repeated tokens of each set's prefix under every order; sets without any are left out."""
-    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(counts, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("k"))
+    shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("k"))
+    shared = shared.join(sets.select("node", "n"), "node")
     length = (F.size("k") - _least_overlap(F.col("n"), percent) + 1).cast("int")
     # By number of documents, then by token; the others by its magnitude, then by a hash of their own.
     ranked = []
@@ -202,16 +203,18 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
     found = prefix.sparkSession.createDataFrame([], "a binary, b binary")
     lists = prefix.select(F.explode("p0").alias("token"), "node", "n", F.col("node").alias("comp"))
     for turn in range(turns + 1):
+        # At first, groups of copies are still apart: all pairs of a list would be quadratic in them, pivots are not.
+        most = close if turn else min(close, 2)
         lists = durable(lists, "jaccard-lists")
         # A prefix token of a few sets only is the rule: their components are counted before lists are.
         per = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
         per = per.agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
         per = durable(per.select("token", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("rest")), "jaccard-open-lists")
-        open_ = per.agg(F.coalesce(F.sum(F.when(F.col("rest") > close, F.col("rest") * F.col("m"))), F.lit(0)).alias("pairs")).first()
+        open_ = per.agg(F.coalesce(F.sum(F.when(F.col("rest") > most, F.col("rest") * F.col("m"))), F.lit(0)).alias("pairs")).first()
         budget = room * lists.count() if turn == 0 else budget
-        last = turn == turns or open_["pairs"] <= budget
+        last = turn == turns or open_["pairs"] <= (budget if turn else 0)
         members = durable(lists.join(per.drop("m"), "token"), "jaccard-members")
-        few, many = members if last else members.where(F.col("rest") <= close), members.where(F.col("rest") > close)
+        few, many = members if last else members.where(F.col("rest") <= most), members.where(F.col("rest") > most)
         x, y = few.where("comp <> main").alias("x"), few.alias("y")
         # Each pair across components once: of two that both are beside the main one, the smaller node asks.
         ask = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
