@@ -23,6 +23,7 @@ import base64
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that are kept at most, but for those of one slice.
 MEMO = 800_000
+#: Marks that may follow a word in a chunk.
+TAILS = frozenset(".,;:!?")
 
 class Tokenizer:
     """A byte-level BPE vocabulary of tiktoken ranks; ids (or, for counting, numbers of ids) of recent chunks are kept.
@@ -59,6 +62,7 @@ class Tokenizer:
         self.opens = np.zeros(self.end, bool)
         self.opens[[i for x, i in ranks.items() if x[:1] == b" "]] = True
         self.counts, self.memo = counts, {}
+        self.tails = {x: self._whole(x) for x in TAILS}
 
     def _whole(self, text: str) -> bytes | int:
         ids = self.coder.encode_to_numpy(text)
@@ -68,6 +72,15 @@ class Tokenizer:
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = [c for c in chunks.difference(self.memo) if c and not c[0].isspace() and not c[-1].isspace()]
+        if not new:
+            return
+        # PATTERN parts letters from the mark behind them, so a word serves with and without one.
+        tailed = [c for c in new if c[-1] in TAILS and c[:-1].isalpha()]
+        whole = {*new, *(c[:-1] for c in tailed)}.difference(tailed, self.memo)
+        self._encode_chunks(list(whole))
+        self.memo.update([(c, self.memo[c[:-1]] + self.tails[c[-1]]) for c in tailed])
+
+    def _encode_chunks(self, new: list[str]) -> None:
         if not new:
             return
         ids = self.coder.encode_to_numpy(" " + " ".join(new))
@@ -84,18 +97,16 @@ class Tokenizer:
     def _texts(self, texts: list[str]) -> Iterator[bytes | int]:
         """The ids of each text, or their number; without its end."""
         cut = [t.split(" ") for t in texts]
-        every: set[str] = set()
-        for chunks in cut:
-            every.update(chunks[1:])
-        self._learn(every)
+        self._learn(set().union(*cut))
         add = sum if self.counts else b"".join
-        for text, (first, *rest) in zip(texts, cut, strict=True):
+        for text, chunks in zip(texts, cut, strict=True):
+            first = chunks[0]
             if text and (not first or first[-1].isspace()):
                 yield self._whole(text)
                 continue
             try:
                 # Chunks that must not stand alone were not learned.
-                yield self._whole(first) + add(map(self.memo.__getitem__, rest))
+                yield self._whole(first) + add(map(self.memo.__getitem__, islice(chunks, 1, None)))
             except KeyError:
                 yield self._whole(text)
 

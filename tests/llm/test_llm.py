@@ -397,7 +397,7 @@ def test_training_order_round_trip(corpus, tmp_path):
     assert training_order.materialise(empty(df), f"file://{tmp_path}/none").count() == 0
 
 
-ODD = ["It's  a test,  isn't it? 12,5 % of_x\n\n  end ", "Élan à côté: ½ ² x̂ 日本 ok", "\x1c odd\xa0space × ÷", "", " lead", "trail ", "a\n b", "a \nb", "one two\nthree four", " ", "\n", "x", "a\u2028 b c", "\x00 zero \x00", "twice twice twice"]
+ODD = ["It's  a test,  isn't it? 12,5 % of_x\n\n  end ", "Élan à côté: ½ ² x̂ 日本 ok", "\x1c odd\xa0space × ÷", "", " lead", "trail ", "a\n b", "a \nb", "one two\nthree four", " ", "\n", "x", "a\u2028 b c", "\x00 zero \x00", "twice twice twice", "end. end, end; end! end!! end? it's. a1. née, née née. .. . x", "don't, stop: no's."]
 
 
 def test_fast_tokenizer_equals_the_slow_one(monkeypatch):
