@@ -12,9 +12,10 @@ n - ceil(t n) + 1 tokens of each, under every order; a pair that lacks one under
 3. Candidates. Sets that share a prefix token under the first order are a list. A list of few sets that are not connected
    yet gives all pairs across components, which closes it. Of a longer one, members are first compared with two
    pivots, of its largest component and of the rest; what gets connected needs no comparison with each other. Once all
-   pairs across components that remain are at most `room` for each member of a list at the start (or after `turns`
-   turns, whatever their number), all are made. So a group of near copies costs rows in proportion to its members, and
-   no pair of different components is left out.
+   pairs across components that remain are at most `room` for each member of a list at the start, or a turn leaves
+   over half of them, or after `turns` turns, all are made. Pairs whose sizes or marks (256 parities of tokens by hash)
+   show that too many tokens differ are left out within the join, so that it makes hardly more rows than there are links
+   between components; it still compares them. No pair that could be similar is left out.
 4. Intersection and verification. Pairs that also share a token under the other orders get both sets and are compared
    exactly. Components grow over verified links only.
 
@@ -43,6 +44,8 @@ SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: A list with at most so many sets beside its largest component is closed at once; pairs a member for closing all; most turns.
 CLOSE, ROOM, TURNS = 16, 4, 6
 _MANY = 0xFFFF
+#: Each set's parity of tokens per bit, 64 bits a column; two sets differ in at least as many tokens as bits.
+MARKS = ("m0", "m1", "m2", "m3")
 
 
 def _requests(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -145,9 +148,27 @@ def _sets_of(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(token[order].view(np.int64)))
             # Rows that repeat a doc_id may have other texts.
             same = pa.array([x.as_py() == names[16 * k : 16 * k + 16] for k, x in enumerate(nodes)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes), lists], names=["node", "n", "tokens"]).filter(same)
+            marks = [pa.array(m) for m in _parities(token[order], sizes)]
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes), lists, *marks], names=["node", "n", "tokens", *MARKS]).filter(same)
 
-    return texts.mapInArrow(build, "node binary, n bigint, tokens array<bigint>").dropDuplicates(["node"])
+    columns = ", ".join(f"{m} bigint" for m in MARKS)
+    return texts.mapInArrow(build, f"node binary, n bigint, tokens array<bigint>, {columns}").dropDuplicates(["node"])
+
+
+def _parities(token: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """One int64 array a column of MARKS: which bits an odd number of a set's tokens fall on. Sets follow each other."""
+    sizes = np.asarray(sizes, np.int64)
+    full = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[full]
+    place = mix(token) >> np.uint64(56)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for k in range(len(MARKS)):
+        column = np.zeros(len(sizes), np.uint64)
+        if len(starts):
+            column[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts)
+        out.append(column.view(np.int64))
+    return out
 
 
 def _least_overlap(n: Column, percent: int) -> Column:
@@ -160,18 +181,21 @@ def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
     tokens = sets.select("node", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token")).alias("k"))
-    shared = shared.join(sets.select("node", "n"), "node")
+    shared = shared.join(sets.select("node", "n", *MARKS), "node")
     length = (F.size("k") - _least_overlap(F.col("n"), percent) + 1).cast("int")
     # By number of documents, then by token; the others by its magnitude, then by a hash of their own.
     ranked = []
     for order in range(orders):
         by = (lambda x: F.struct(x["df"].alias("df"), x["token"].alias("by"), x["token"].alias("token"))) if order == 0 else (lambda x, o=order: F.struct(F.floor(F.log2(x["df"])).alias("df"), F.xxhash64(F.lit(o), x["token"]).alias("by"), x["token"].alias("token")))
         ranked.append(F.slice(F.sort_array(F.transform("k", by)), F.lit(1), length)["token"].alias(f"p{order}"))
-    return shared.where(length > 0).select("node", "n", *ranked)
+    return shared.where(length > 0).select("node", "n", *MARKS, *ranked)
 
 
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def _may_match(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and marks of two sets leave room for the similarity: similar sets differ in few tokens."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS)
+    return (100 * a >= percent * b) & (100 * b >= percent * a) & ((100 + percent) * apart <= (100 - percent) * (a + b))
 
 
 def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
@@ -191,17 +215,19 @@ def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): the members of each list with its two pivots, where components differ."""
-    first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp")))
+    first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp", *MARKS)))
     pivots = members.groupBy("token").agg(first(F.expr("comp = main")).alias("u"), first(F.expr("comp <> main")).alias("v"))
     pivots = pivots.select("token", F.explode(F.array("u", "v")).alias("pivot"))
-    met = members.join(pivots, "token").where((F.col("comp") != F.col("pivot.comp")) & _similar_size(F.col("n"), F.col("pivot.n"), percent))
-    return met.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    pivots = pivots.where("pivot is not null").select("token", "pivot.*").alias("p")
+    met = members.alias("x").join(pivots, (F.col("x.token") == F.col("p.token")) & (F.col("x.comp") != F.col("p.comp")) & _may_match("x", "p", percent))
+    return met.select(F.col("x.node").alias("a"), F.col("p.node").alias("b"))
 
 
 def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS, close: int = CLOSE, room: int = ROOM, turns: int = TURNS) -> DataFrame:
     """(a, b): verified links that connect exactly what similarity connects."""
     found = prefix.sparkSession.createDataFrame([], "a binary, b binary")
-    lists = prefix.select(F.explode("p0").alias("token"), "node", "n", F.col("node").alias("comp"))
+    lists = prefix.select(F.explode("p0").alias("token"), "node", "n", F.col("node").alias("comp"), *MARKS)
+    left = 0
     for turn in range(turns + 1):
         # At first, groups of copies are still apart: all pairs of a list would be quadratic in them, pivots are not.
         most = close if turn else min(close, 2)
@@ -212,13 +238,16 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
         per = durable(per.select("token", "m", F.col("top.comp").alias("main"), (F.col("m") - F.col("top.c")).alias("rest")), "jaccard-open-lists")
         open_ = per.agg(F.coalesce(F.sum(F.when(F.col("rest") > most, F.col("rest") * F.col("m"))), F.lit(0)).alias("pairs")).first()
         budget = room * lists.count() if turn == 0 else budget
-        last = turn == turns or open_["pairs"] <= (budget if turn else 0)
+        # A turn of pivots that leaves over half of the pairs would not be followed by a better one.
+        stuck = turn > 1 and 2 * open_["pairs"] > left
+        last = turn == turns or stuck or open_["pairs"] <= (budget if turn else 0)
+        left = open_["pairs"]
         members = durable(lists.join(per.drop("m"), "token"), "jaccard-members")
         few, many = members if last else members.where(F.col("rest") <= most), members.where(F.col("rest") > most)
         x, y = few.where("comp <> main").alias("x"), few.alias("y")
         # Each pair across components once: of two that both are beside the main one, the smaller node asks.
         ask = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        all_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ask & _similar_size(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        all_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ask & _may_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = all_pairs
         if not last:
             pairs = pairs.unionByName(_stars(many, percent))
@@ -228,7 +257,7 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
         if last:
             return found
         named = components(found).withColumnRenamed("component", "__comp")
-        lists = many.join(named, "node", "left").select("token", "node", "n", F.coalesce("__comp", "node").alias("comp"))
+        lists = many.join(named, "node", "left").select("token", "node", "n", F.coalesce("__comp", "node").alias("comp"), *MARKS)
     return found
 
 
