@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,18 @@ def broadcast_small(df: DataFrame, most: int = MAX_BROADCAST_BYTES) -> DataFrame
         width = width + (F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if kind in ("string", "binary") else F.coalesce(F.octet_length(F.to_json(F.struct(f"`{f.name}`"))), F.lit(0)) if kind in ("array", "struct", "map") else F.lit(8))
     size = df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= most else df
+
+
+@contextmanager
+def batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs started inside send Python batches of about `most` bytes, whatever the number of rows; results do not change."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)

@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from quillframe.operators.graph import components
 
-from .common import broadcast_small, durable
+from .common import batches_of, broadcast_small, durable
 from .shingles import mix, sliced, token_sets
 
 WORDS, PERCENT, ORDERS = 5, 80, 3
-SLICE_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+SLICE_BYTES, BUCKET_BYTES, BATCH_BYTES = 4 << 20, 8 << 20, 2 << 20
 #: A list with at most so many sets beside its largest component is closed at once; pairs a member for closing all; most turns.
 CLOSE, ROOM, TURNS = 16, 4, 6
 _MANY = 0xFFFF
@@ -264,10 +264,12 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, close: int = CLOSE, room: int = ROOM, turns: int = TURNS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`; component_id is the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
-    rows = durable(judged_sets(docs, words, percent), "jaccard-rows")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        rows = durable(judged_sets(docs, words, percent), "jaccard-rows")
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = durable(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("stays").alias("stays"), F.first("n_shingles").alias("n")), "jaccard-classes")
-    sets = durable(_sets_of(docs, classes, words), "jaccard-sets")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        sets = durable(_sets_of(docs, classes, words), "jaccard-sets")
     prefix = durable(prefixes(sets, percent, orders), "jaccard-prefixes")
     found = durable(components(links(prefix, sets, percent, orders, close, room, turns)), "jaccard-components")
     # A component is named by the smallest doc_id of its classes.
