@@ -16,10 +16,13 @@ from quillframe.llm.common import durable, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates share at least so many percent of their shingles of so many words.
 WORDS, PERCENT = 5, 80
+#: Batches for Python are bounded by bytes for the session, since stages are executed by whoever writes their results.
+BATCH_BYTES = 2 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`lang` becomes the predicted language. Documents without any letter have none and go."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     judged = language_id.identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
     return judged.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
