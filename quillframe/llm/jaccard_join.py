@@ -13,7 +13,7 @@ n - ceil(t n) + 1 tokens of each, under every order; a pair that lacks one under
    yet gives all pairs across components, which closes it. Of a longer one, members are first compared with two
    pivots, of its largest component and of the rest; what gets connected needs no comparison with each other. Once all
    pairs across components that remain are at most `room` for each member of a list at the start, or a turn leaves
-   over half of them, or after `turns` turns, all are made. Pairs whose sizes or marks (256 parities of tokens by hash)
+   over half of them, or after `turns` turns, all are made. Pairs whose sizes or marks (512 parities of tokens by hash)
    show that too many tokens differ are left out within the join, so that it makes hardly more rows than there are links
    between components; it still compares them. No pair that could be similar is left out.
 4. Intersection and verification. Pairs that also share a token under the other orders get both sets and are compared
@@ -45,7 +45,7 @@ SLICE_BYTES, BUCKET_BYTES, BATCH_BYTES = 4 << 20, 8 << 20, 2 << 20
 CLOSE, ROOM, TURNS = 16, 4, 6
 _MANY = 0xFFFF
 #: Each set's parity of tokens per bit, 64 bits a column; two sets differ in at least as many tokens as bits.
-MARKS = ("m0", "m1", "m2", "m3")
+MARKS = tuple(f"m{k}" for k in range(8))
 
 
 def _requests(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _parities(token: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     sizes = np.asarray(sizes, np.int64)
     full = sizes > 0
     starts = (np.cumsum(sizes) - sizes)[full]
-    place = mix(token) >> np.uint64(56)
+    place = mix(token) >> np.uint64(55)
     bit = np.uint64(1) << (place & np.uint64(63))
     out = []
     for k in range(len(MARKS)):
@@ -213,9 +213,14 @@ def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, percent: int
     return scored.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the members of each list with its two pivots, where components differ."""
-    first = lambda where: F.min(F.when(where, F.struct(F.xxhash64("node").alias("h"), "node", "n", "comp", *MARKS)))
+def _stars(members: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): the members of each list with its two pivots, where components differ.
+
+    At first, lists of the same members get the same pivots, whose pairs are then verified once. What these leave apart
+    meets other pivots in every turn and list: members whose similarities lie about the threshold are linked to some only.
+    """
+    by = F.xxhash64("node") if turn == 0 else F.xxhash64(F.lit(turn), "token", "node")
+    first = lambda where: F.min(F.when(where, F.struct(by.alias("h"), "node", "n", "comp", *MARKS)))
     pivots = members.groupBy("token").agg(first(F.expr("comp = main")).alias("u"), first(F.expr("comp <> main")).alias("v"))
     pivots = pivots.select("token", F.explode(F.array("u", "v")).alias("pivot"))
     pivots = pivots.where("pivot is not null").select("token", "pivot.*").alias("p")
@@ -250,7 +255,7 @@ def links(prefix: DataFrame, sets: DataFrame, percent: int, orders: int = ORDERS
         all_pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & ask & _may_match("x", "y", percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = all_pairs
         if not last:
-            pairs = pairs.unionByName(_stars(many, percent))
+            pairs = pairs.unionByName(_stars(many, percent, turn))
         pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
         new = durable(_verified(pairs, prefix, sets, percent, orders), "jaccard-links")
         found = found.unionByName(new)
