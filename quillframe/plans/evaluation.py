@@ -228,9 +228,11 @@ _PER_DOMAIN = " union all ".join(f"select '{m}' as policy, domain, y_file, y_voi
 select policy, bool_and(c.total >= b.total - 1e-12) total_ok, bool_and(c.file_eer <= b.file_eer + 1e-12) file_ok from c join b using (domain) group by policy"""
 )
 def q59_no_regression(spark, sf_dir):
+    from quillframe.sources.durable import durable
+
     points = spark.createDataFrame([(m,) for m in scores.MODES], "policy string")
     rows = scores.with_fused(search.over_grid(features(spark, sf_dir), points), {**POLICY, "file_fusion_mode": F.col("policy")})
-    each = metrics.composite(rows, ["policy", "domain"])
+    each = durable(metrics.composite(rows, ["policy", "domain"]), "no-regression")
     total = metrics.no_regression(each, ["policy"], "domain", "total", {"policy": "legacy"}, False).withColumnRenamed("ok", "total_ok")
     return total.join(metrics.no_regression(each, ["policy"], "domain", "file_eer", {"policy": "legacy"}, True).withColumnRenamed("ok", "file_ok"), "policy")
 
