@@ -283,6 +283,35 @@ def test_jaccard_join_of_long_and_repeated_texts(spark, monkeypatch):
     assert got == [("", n, None), ("a", n + 1, "a"), ("b", n, "a"), ("c", 1, "c"), ("c", 1, "c"), ("c", n, "a"), ("d", 1, "c"), ("e", 1, "e")]
 
 
+def test_token_orders_are_the_same_for_every_set(spark):
+    r = random.Random(11)
+    rows = [(bytes([k]), 20, r.sample(range(10**6, 10**6 + 30), 20), *[0] * len(jaccard_join.MARKS)) for k in range(12)]
+    sets = spark.createDataFrame(rows, "node binary, n bigint, tokens array<bigint>, " + ", ".join(f"{m} bigint" for m in jaccard_join.MARKS))
+    got = jaccard_join.prefixes(sets, 1, 3).collect()
+    assert len(got) == 12 and all(len(x[f"p{k}"]) == 20 for x in got for k in range(3))
+    for order in range(3):
+        for x in got:
+            for y in got:
+                both = set(x[f"p{order}"]) & set(y[f"p{order}"])
+                assert [t for t in x[f"p{order}"] if t in both] == [t for t in y[f"p{order}"] if t in both]
+
+
+def test_jaccard_join_of_pairs_about_the_threshold(spark):
+    # Copies that share few of the prefix tokens that they may: 61 words, one or two of them other ones.
+    r = random.Random(12)
+    rows = []
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(61)]
+        for _ in range(4):
+            ws = list(base)
+            for at in r.sample(range(61), r.randint(0, 2)):
+                ws[at] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.similar_documents(df, 3, 90).collect()}
+    assert got == brute_components(rows)
+
+
 def test_words_across_stretches(monkeypatch):
     r = random.Random(6)
     text = "".join(r.choice("ab Ä\n\u3000") for _ in range(5000)).encode()
