@@ -326,6 +326,17 @@ def test_words_across_stretches(monkeypatch):
     assert all(names.setdefault(w, h) == h for (w, _), h in zip(words, whole[0].tolist(), strict=True)) and len(set(names.values())) == len(names)
 
 
+def test_words_of_opposite_letters():
+    # Thue-Morse words and their opposites have the same sum under powers of any odd number modulo 2^64.
+    bits = [0]
+    for _ in range(13):
+        bits += [1 - b for b in bits]
+    words = ["".join("ab"[b ^ flip] for b in bits[: 1 << k]) for k in range(1, 14) for flip in (0, 1)]
+    text = " ".join([*words, "x" * 70_000, "x" * 70_001, "x" * 69_999 + "y"]).encode()
+    hashes, _ = shingles.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(hashes) == len(set(hashes.tolist())) == len(words) + 3
+
+
 def brute_contamination(rows, items):
     words = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     wins = defaultdict(set)
