@@ -337,6 +337,26 @@ def test_words_of_opposite_letters():
     assert len(hashes) == len(set(hashes.tolist())) == len(words) + 3
 
 
+def test_jaccard_join_of_odd_rows(spark):
+    # Words beside white space of other kinds, letters without an ASCII lower case, edits about the threshold and opposite words.
+    r = random.Random(13)
+    words = [*(f"w{k}" for k in range(120)), "É", "é", "İ", "ß", "a\u00a0b", "\x85", "\x1c", "\x00", "A", "a", "aB", "日本"]
+    rows, bases = [], []
+    for k in range(250):
+        ws = list(r.choice(bases)) if bases and r.random() < 0.6 else r.choices(words, k=r.choice([0, 1, 2, 3, 12, 32, 80]))
+        for _ in range(r.choice([0, 1, 1, 2]) if len(ws) > 3 else 0):
+            ws[r.randrange(len(ws))] = r.choice(words)
+        bases.append(ws)
+        rows.append((7 * k - 900, "".join((w.title() if r.random() < 0.1 and w.isascii() else w) + r.choice(" \t\n\x0b\x0c\r") for w in ws) or None))
+    bits = [0]
+    for _ in range(12):
+        bits += [1 - b for b in bits]
+    rows += [(5000 + flip, "".join("ab"[b ^ flip] for b in bits)) for flip in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.similar_documents(df, 3, 90).collect()}
+    assert got == brute_components(rows)
+
+
 def brute_contamination(rows, items):
     words = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     wins = defaultdict(set)
