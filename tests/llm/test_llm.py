@@ -326,6 +326,20 @@ def test_words_across_stretches(monkeypatch):
     assert all(names.setdefault(w, h) == h for (w, _), h in zip(words, whole[0].tolist(), strict=True)) and len(set(names.values())) == len(names)
 
 
+def test_sets_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    texts = [" ".join(f"{r.randrange(10**7)}" for _ in range(400)) for _ in range(1300)]
+    data, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])]
+    tracemalloc.start()
+    shingles.token_sets(data, ends, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 71 MB before, for 4 MB of text; two tasks share an executor.
+    assert 4e6 < len(data) < 4.3e6 and most < 45e6
+
+
 def test_words_of_opposite_letters():
     # Thue-Morse words and their opposites have the same sum under powers of any odd number modulo 2^64.
     bits = [0]
