@@ -486,6 +486,22 @@ def test_fast_tokenizer_equals_the_slow_one(monkeypatch):
             assert counter.count(given) == sum(map(len, want))
 
 
+def test_counted_words_are_not_encoded_again(monkeypatch):
+    t = training_order.Tokenizer(open(training_order.RANKS, "rb").read())
+    given = [f"first {' '.join(f'w{k * j}' for j in range(50))} {'long' * 9}" for k in range(9)]
+    want = [x for text in given for x in (*t.coder.encode_ordinary(text), t.end)]
+    asked, encode = [], t._ids
+    monkeypatch.setattr(t, "_ids", lambda text: asked.append(text) or encode(text))
+    assert t.count(given) == len(want)
+    asked.clear()
+    # Both passes use what the other has learned; before, each had ids or numbers of its own.
+    assert t.encode(given)[0].tolist() == want and set(asked) == {"first"}
+    # Keys that share a hash are still told apart.
+    monkeypatch.setattr(training_order, "_hashes", lambda keys: np.zeros(keys.shape[1], np.uint64))
+    t._forget()
+    assert t.encode(given)[0].tolist() == want
+
+
 def brute_repeats(text):
     ws = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
     grams = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
