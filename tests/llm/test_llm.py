@@ -502,6 +502,35 @@ def test_counted_words_are_not_encoded_again(monkeypatch):
     assert t.encode(given)[0].tolist() == want
 
 
+def test_shards_are_written_without_the_tokenizer_and_in_small_batches(corpus, tmp_path, monkeypatch):
+    _, df = corpus
+    conf, run, passes = df.sparkSession.conf, type(df).mapInArrow, []
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sizes, read = conf.get(name), [], type(df).collect
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: passes.append(f) or run(self, f, schema))
+    monkeypatch.setattr(type(df), "collect", lambda self: sizes.append(conf.get(name)) or read(self))
+    monkeypatch.setattr(training_order, "durable", lambda made, _: sizes.append(conf.get(name)))
+    training_order.materialise(df, f"file://{tmp_path}/s", seq_len=32)
+    assert sizes == [str(training_order.BATCH_BYTES)] * 2 and conf.get(name) == before
+    # What a worker has learned, hundreds of megabytes on large inputs, is let go once shards are written.
+    training_order._tokenizer(open(training_order.RANKS, "rb").read())
+    assert not list(passes[-1](iter([]))) and not training_order._HELD
+
+
+@pytest.mark.parametrize("room", [None, 2])
+def test_entries_are_not_copied_for_every_slice(monkeypatch, room):
+    if room:
+        monkeypatch.setattr(training_order, "ROOM", room)
+    t = training_order.Tokenizer(open(training_order.RANKS, "rb").read())
+    held = [t.keys, t.size, t.begin, t.pool]
+    for k in range(5):
+        given = [*ODD, " ".join(f"w{k * j}" for j in range(40)), "first"]
+        ids, offsets = t.encode(given)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [[*t.coder.encode_ordinary(x), t.end] if x else [] for x in given]
+    # Before, each slice made new arrays; now only one that is too short is copied.
+    assert all(x is y for x, y in zip(held, [t.keys, t.size, t.begin, t.pool], strict=True)) == (room is None)
+
+
 def brute_repeats(text):
     ws = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
     grams = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
