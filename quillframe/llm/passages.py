@@ -6,13 +6,13 @@ too, and removed if it lies in one whose first holder is another document: the f
 
 1. Segments. The smallest hash of a window's 8-word shingles is its anchor; windows in a row with the same anchor make a
    segment, known by anchor and a 128-bit BLAKE2b digest of its words. Equal windows have equal anchors, so only segments
-   whose anchor two documents have can hold a shared window.
+   whose anchor two documents have can hold a shared window. Others go no further: anchors are counted first, by themselves.
 2. Windows. Where such an anchor has one kind of segment, all of its windows have the holders of the segment. Where it has
    several, one copy of each kind is cut into windows, which are grouped by digest over the cluster.
 3. Removal. The windows of a text are merged to spans of its words and cut out.
 
-Words are told apart by 64-bit hashes. Null and empty texts have no words, a null doc_id ranks first, equal rows are one
-document, and repeats within a document stay. Other columns of the input are not used.
+Words are told apart by 64-bit hashes, and so are the documents of an anchor. Null and empty texts have no words, a null doc_id
+ranks first, equal rows are one document, and repeats within a document stay. Other columns of the input are not used.
 """
 
 from __future__ import annotations
@@ -89,11 +89,27 @@ def _segment_rows(docs: DataFrame, words: int) -> DataFrame:
     return made.select(F.struct("doc_id", "version").alias("doc"), F.inline("segments"))
 
 
-def _window_rows(docs: DataFrame, kinds: DataFrame, words: int) -> DataFrame:
-    """(fp, digest, first, last, at, window) of each window of one copy of these kinds of segments."""
-    wanted = kinds.groupBy("first").agg(F.collect_list(F.struct("fp", "digest", "lo", "hi", "first", "last")).alias("want"))
-    wanted = durable(wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.version").alias("__version"), "want"), "passage-wanted")
-    size = wanted.agg(F.coalesce(F.sum(48 + 80 * F.size("want")), F.lit(0))).first()[0]
+def _shared_segments(docs: DataFrame, words: int) -> DataFrame:
+    """The segments whose anchor another document has too."""
+    rows = durable(_segment_rows(docs, words), "passage-segments")
+    one = F.xxhash64("doc.doc_id", "doc.version")
+    anchors = rows.groupBy("fp").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("fp")
+    anchors = durable(anchors, "passage-anchors")
+    return durable(rows.join(broadcast_if(anchors, 16 * anchors.count(), MAX_BROADCAST_BYTES), "fp", "left_semi"), "passage-anchored")
+
+
+def _wanted(kinds: DataFrame) -> DataFrame:
+    """(rank, doc, want): the kinds whose copies a document holds; ranks are in the order of documents."""
+    kind = F.struct("kind", "lo", "hi", (~F.col("first").eqNullSafe(F.col("last"))).alias("others"))
+    found = kinds.groupBy(F.col("first").alias("doc")).agg(F.collect_list(kind).alias("want"))
+    return durable(found.orderBy("doc").select(F.monotonically_increasing_id().alias("rank"), "doc", "want"), "passage-wanted")
+
+
+def _window_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(kind, holder, at, window) of each window of one copy of these kinds; holder is twice the rank, one more if others hold the kind."""
+    size = wanted.agg(F.coalesce(F.sum(48 + 40 * F.size("want")), F.lit(0))).first()[0]
+    held = F.transform("want", lambda x: F.struct(x["kind"], (2 * F.col("rank") + x["others"].cast("bigint")).alias("holder"), x["lo"], x["hi"]))
+    wanted = wanted.select(F.col("doc.doc_id").alias("__id"), F.col("doc.version").alias("__version"), held.alias("want"))
     same = docs["doc_id"].eqNullSafe(wanted["__id"]) & (docs["version"] == wanted["__version"])
     joined = docs.join(broadcast_if(wanted, size, MAX_BROADCAST_BYTES), same).select("text", "want")
 
@@ -110,10 +126,10 @@ def _window_rows(docs: DataFrame, kinds: DataFrame, words: int) -> DataFrame:
                 which = np.repeat(np.arange(some, some + len(part)), part)
                 at = np.arange(len(which)) - np.repeat(np.cumsum(part) - part, part)
                 windows = [_digest(view, a, a + words) for a in (begin[which] + at).tolist()]
-                yield pa.RecordBatch.from_arrays([values.take(pa.array(which)), pa.array(at, pa.int32()), pa.array(windows, pa.binary())], names=["kind", "at", "window"])
+                own = [values.field(k).take(pa.array(which)) for k in ("kind", "holder")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at, pa.int32()), pa.array(windows, pa.binary())], names=["kind", "holder", "at", "window"])
 
-    want = wanted.schema["want"].dataType.elementType.simpleString()
-    return joined.mapInArrow(cut, f"kind {want}, at int, window binary").select("kind.fp", "kind.digest", "kind.first", "kind.last", "at", "window")
+    return joined.mapInArrow(cut, "kind bigint, holder bigint, at int, window binary")
 
 
 def shared_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -121,21 +137,25 @@ def shared_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     if words < 2 * GRAM:
         raise ValueError(f"words must be at least {2 * GRAM}")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    rows = durable(_segment_rows(docs, words), "passage-segments")
+    rows = _shared_segments(docs, words)
     # The first copy is that of the first holder.
     kinds = rows.groupBy("fp", "digest").agg(F.min(F.struct("doc", "lo", "hi")).alias("copy"), F.max("doc").alias("last"))
     kinds = durable(kinds.select("fp", "digest", F.col("copy.doc").alias("first"), "last", "copy.lo", "copy.hi"), "passage-kinds")
-    per_fp = kinds.groupBy("fp").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n_kinds"))
-    per_fp = durable(per_fp.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "n_kinds"), "passage-anchors")
-    kinds = durable(kinds.join(per_fp, "fp"), "passage-shared")
-    whole = kinds.where("n_kinds = 1").select("fp", "digest", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"), "first")
-    windows = durable(_window_rows(docs, kinds.where("n_kinds > 1"), words), "passage-windows")
-    first = windows.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    first = durable(first.where(~F.col("first").eqNullSafe(F.col("last"))).select("window", "first"), "passage-first")
-    held = windows.select("fp", "digest", "at", "window").join(first, "window")
-    order = W.partitionBy("fp", "digest", "first").orderBy("at")
+    # A table of its own: then Spark may split a hot anchor's kinds where they are joined by a shuffle.
+    several = durable(kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1"), "passage-several")
+    kinds = kinds.join(broadcast_if(several, 24 * several.count(), MAX_BROADCAST_BYTES), "fp", "left")
+    kinds = durable(kinds.withColumn("kind", F.monotonically_increasing_id()), "passage-shared")
+    whole = kinds.where("n_kinds is null").select("fp", "digest", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"), "first")
+    wanted = _wanted(kinds.where("n_kinds > 1"))
+    windows = durable(_window_rows(docs, wanted, words), "passage-windows")
+    holders = windows.groupBy("window").agg(F.min("holder").alias("least"), F.max("holder").alias("most"))
+    rank = F.shiftright("least", 1)
+    first = durable(holders.where((rank != F.shiftright("most", 1)) | (F.col("most") % 2 == 1)).select("window", rank.alias("rank")), "passage-first")
+    order = W.partitionBy("kind", "rank").orderBy("at")
     # Equal rows are cut side by side, so a window may come more than once.
-    partly = held.withColumn("k", F.col("at") - F.dense_rank().over(order)).groupBy("fp", "digest", "first", "k").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    partly = windows.join(first, "window").select("kind", "rank", "at", (F.col("at") - F.dense_rank().over(order)).alias("k"))
+    partly = partly.groupBy("kind", "rank", "k").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    partly = partly.join(kinds.select("kind", "fp", "digest"), "kind").join(wanted.select("rank", F.col("doc").alias("first")), "rank")
     runs = durable(whole.unionByName(partly.select("fp", "digest", "a", "b", "first")), "passage-runs")
     found = rows.join(runs, ["fp", "digest"])
     later = ~F.col("first").eqNullSafe(F.col("doc"))
